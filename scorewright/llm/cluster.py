@@ -70,7 +70,7 @@ def ranked(scratch: Scratch, df: DataFrame, group: str, order: list[str], rank:
         sizes[row._group] = sizes.get(row._group, 0) + row._n
     kind = df.schema[group].dataType.simpleString()
     table = spark.createDataFrame(shift, f"_part bigint, _group {kind}, _shift bigint")
-    joined = sorted_.withColumn("_part", part).join(F.broadcast(table), (F.col("_part") == table._part) & (F.col(group) == table._group))
+    joined = sorted_.withColumn("_part", part).withColumn("_group", F.col(group)).join(F.broadcast(table), ["_part", "_group"])
     return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(rank)), sizes
 
 

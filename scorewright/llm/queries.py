@@ -25,8 +25,17 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    files = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    return pack_documents(_table(spark, sf_dir, "documents"), *files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op4_document_fingerprints)}
+    return {f.__name__: f for f in (op1_exact_top_k, op4_document_fingerprints, op8_packing)}
 
 
 _OP1 = """
