@@ -25,6 +25,10 @@ def _byte_tables():
 
 
 BYTE_VALUE, IS_SPACE, STEP = _byte_tables()
+#: For term features: every ASCII byte but letters and digits ends a word, and the case of Latin-1 letters doesn't count.
+IS_MARK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+FOLDED_VALUE = BYTE_VALUE.copy()
+FOLDED_VALUE[0x80:0x9F] = FOLDED_VALUE[0xA0:0xBF]
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
@@ -70,13 +74,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False, gaps=IS_SPACE, value=BYTE_VALUE, prefixes=()):
     """(hashes, bounds) or (hashes, bounds, starts, ends): document i has the words bounds[i]:bounds[i + 1].
 
-    Starts and ends are byte positions in `data`. Long input is hashed in pieces that end at a
+    With prefixes, hashes has a row for each of these lengths in bytes before the row of the whole words (a
+    shorter word's is that of the word). Starts and ends are byte positions in `data`. Long input is hashed in pieces that end at a
     word's end, so the memory besides the words stays near CHUNK_BYTES times 24.
     """
-    gap = IS_SPACE[data]
+    gap = gaps[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begin = ~gap
@@ -85,20 +90,24 @@ def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False):
     finish = ~gap
     finish[:-1] &= gap[1:] | first[1:-1]
     ends = np.flatnonzero(finish) + 1
-    out = np.empty(len(starts), np.uint64)
+    out = np.empty((len(prefixes) + 1, len(starts)), np.uint64)
     lo = 0
     while lo < len(starts):
         at = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, at + CHUNK_BYTES, "right")))
-        part = BYTE_VALUE[data[at : ends[hi - 1]]]
+        part = value[data[at : ends[hi - 1]]]
         part *= _power(_ODD, "up", len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part, out=total[1:])
         s, e = starts[lo:hi] - at, ends[lo:hi] - at
-        out[lo:hi] = (total[e] - total[s]) * _power(_INVERSE, "down", len(part) + 1)[s] + (e - s).astype(np.uint64)
+        back = _power(_INVERSE, "down", len(part) + 1)[s]
+        for i, most in enumerate((*prefixes, None)):
+            size = e - s if most is None else np.minimum(e - s, most)
+            out[i, lo:hi] = (total[s + size] - total[s]) * back + size.astype(np.uint64)
         lo = hi
     bounds = np.searchsorted(starts, offsets)
-    return (mix(out), bounds, starts, ends) if spans else (mix(out), bounds)
+    out = mix(out if prefixes else out[0])
+    return (out, bounds, starts, ends) if spans else (out, bounds)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = 5):
