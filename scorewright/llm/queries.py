@@ -40,8 +40,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), *files)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op4_document_fingerprints, op7_toxicity, op8_packing)}
+    return {f.__name__: f for f in (op1_exact_top_k, op4_document_fingerprints, op7_toxicity, op8_packing, op10_language_id)}
 
 
 _OP1 = """
