@@ -19,6 +19,12 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"), 8)
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_edits
 
@@ -47,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op4_document_fingerprints, op7_toxicity, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op4_document_fingerprints, op7_toxicity, op8_packing, op10_language_id)}
 
 
 _OP1 = """
