@@ -31,6 +31,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), 75)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -53,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op4_document_fingerprints, op7_toxicity, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op4_document_fingerprints, op5_minhash_near_dedup, op7_toxicity, op8_packing, op10_language_id)}
 
 
 _OP1 = """
