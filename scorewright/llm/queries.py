@@ -25,6 +25,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 8)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_edits
 
@@ -59,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op4_document_fingerprints, op5_minhash_near_dedup, op7_toxicity, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op3_substring_dedup, op4_document_fingerprints, op5_minhash_near_dedup, op7_toxicity, op8_packing, op10_language_id)}
 
 
 _OP1 = """

@@ -122,7 +122,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = 5):
     out = total[picked]
     for i in np.flatnonzero((n > 0) & (n < k)):
         own = hashes[bounds[i] : bounds[i + 1]]
-        out[out_bounds[i]] = (own * STEP[: len(own)]).sum(dtype=np.uint64) + STEP[k + len(own)]
+        out[out_bounds[i]] = np.append(own * STEP[: len(own)], STEP[k + len(own)]).sum(dtype=np.uint64)
     return mix(out), out_bounds
 
 
