@@ -43,6 +43,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 75)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import round_trips
+
+    return round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -65,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op3_substring_dedup, op4_document_fingerprints, op5_minhash_near_dedup, op7_toxicity, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op3_substring_dedup, op4_document_fingerprints, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_packing, op10_language_id)}
 
 
 _OP1 = """
