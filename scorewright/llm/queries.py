@@ -66,6 +66,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), *files)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify_language
 
@@ -73,7 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op3_substring_dedup, op4_document_fingerprints, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op3_substring_dedup, op4_document_fingerprints, op5_minhash_near_dedup, op6_sentencepiece, op7_toxicity, op8_packing, op9_license_scan, op10_language_id)}
 
 
 _OP1 = """
