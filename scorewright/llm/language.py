@@ -98,21 +98,16 @@ def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least
     return best, sure
 
 
-def identify_language(documents: DataFrame, sample: int = 20_000, smoothing: float = 0.05) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every document.
+def _held_out(column):
+    return F.coalesce(F.crc32(column.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
-    The n-gram models are counted from about `sample` documents at most (chosen by a hash of doc_id) with a lang, a text, and a
-    crc32(doc_id as text) mod 4 that isn't 2; a null doc_id is held out = false and teaches nothing. Predictions read the whole
-    text alone. lang_pred is the language with the largest share in the chosen set (ties to the first by name) and score its share in the
-    mixture of all languages. `und` with score 0.0 if the text is null or has no letter, or if no language could be learnt.
-    Repeated rows are predicted alike, extra columns are ignored, no documents give no rows.
-    The counts that reach the driver are bounded by the languages and the kinds of grams.
-    """
+
+def learn_languages(documents: DataFrame, sample: int = 20_000, smoothing: float = 0.05):
+    """A function from a column of texts to (language or None, score) arrays, learnt as identify_language says."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    taught = docs.where("lang is not null and doc_id is not null").where(~held)
+    taught = docs.where("lang is not null and doc_id is not null").where(~_held_out(F.col("doc_id")))
     share = int(min(1.0, sample / max(1, taught.count())) * 1_000_000)
     taught = taught.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share).where("text is not null")
 
@@ -146,20 +141,50 @@ def identify_language(documents: DataFrame, sample: int = 20_000, smoothing: flo
     shared = spark.sparkContext.broadcast(table)
     step = (1 << 20) * 4 // max(4, len(langs))
 
-    def predict(batches):
-        table = shared.value
+    def predict(column):
+        data, offsets = wordhash.utf8(column)
+        names, sure = np.full(len(offsets) - 1, None, object), np.zeros(len(offsets) - 1)
+        for lo, hi in wordhash.chunks(offsets, step):
+            best, score = mixtures(*grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), shared.value)
+            sure[lo:hi] = np.clip(score, 0, 1)
+            names[lo:hi] = [langs[i] if i >= 0 else None for i in best]
+        return names, sure
+
+    return predict
+
+
+def identify_language(documents: DataFrame, **settings) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every document.
+
+    The n-gram models are counted from about `sample` documents at most (chosen by a hash of doc_id) with a lang, a text, and a
+    crc32(doc_id as text) mod 4 that isn't 2; a null doc_id is held out = false and teaches nothing. Predictions read the whole
+    text alone. lang_pred is the language with the largest share in the chosen set (ties to the first by name) and score its share in the
+    mixture of all languages. `und` with score 0.0 if the text is null or has no letter, or if no language could be learnt.
+    Repeated rows are predicted alike, extra columns are ignored, no documents give no rows.
+    The counts that reach the driver are bounded by the languages and the kinds of grams.
+    """
+    learnt = learn_languages(documents, **settings)
+
+    def run(batches):
         for b in batches:
-            data, offsets = wordhash.utf8(b.column("text"))
-            names, sure = np.full(b.num_rows, None, object), np.zeros(b.num_rows)
-            for lo, hi in wordhash.chunks(offsets, step):
-                best, score = mixtures(*grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), table)
-                sure[lo:hi] = np.clip(score, 0, 1)
-                names[lo:hi] = [langs[i] if i >= 0 else None for i in best]
+            names, sure = learnt(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("letters"), pa.array(names, pa.string()), pa.array(sure)], names=["doc_id", "letters", "name", "sure"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    out = docs.select("doc_id", letters, "text").mapInArrow(predict, "doc_id long, letters boolean, name string, sure double")
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), letters, "text").mapInArrow(run, "doc_id long, letters boolean, name string, sure double")
     known = F.col("letters") & F.col("name").isNotNull()
     return out.select(
-        "doc_id", held.alias("held_out"), F.when(known, F.col("name")).otherwise("und").alias("lang_pred"), F.when(known, F.col("sure")).otherwise(0.0).alias("score")
+        "doc_id", _held_out(F.col("doc_id")).alias("held_out"), F.when(known, F.col("name")).otherwise("und").alias("lang_pred"), F.when(known, F.col("sure")).otherwise(0.0).alias("score")
     )
+
+
+def keep_languages(documents: DataFrame, least_share: float = 0.4, **settings) -> DataFrame:
+    """The rows of `documents`, all their columns unchanged, whose text has a letter and a language with `least_share` of its mixture or more."""
+    learnt = learn_languages(documents, **settings)
+
+    def run(batches):
+        for b in batches:
+            names, sure = learnt(b.column("text"))
+            yield b.filter(pa.array((names != None) & (sure >= least_share)))  # noqa: E711
+
+    return documents.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, documents.schema)

@@ -236,3 +236,13 @@ def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5
     out = sketched.where("n > 0 and doc_id is not null").select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = sketched.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return scratch.finish(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group, that with the smallest doc_id, with all its columns; rows alike in doc_id and text count once.
+
+    Documents without a word or without a doc_id are in no group and stay.
+    """
+    kept = near_duplicates(documents, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    with_id = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return with_id.select(*documents.columns).unionByName(documents.where("doc_id is null"))

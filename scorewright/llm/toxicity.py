@@ -89,21 +89,15 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (feats, ones, zeros)], names=["feature", "ones", "zeros"])
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, least: float = 15.0) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every document, learnt from `labels` (doc_id, toxic).
+def _fold(column):
+    return F.coalesce(F.crc32(column.cast("string")) % FOLDS == 0, F.lit(False))
 
-    Learns only from rows whose crc32(doc_id as text) mod 5 is not 0, and from about `sample` of them
-    at most (chosen by a hash of doc_id; texts that repeat count once). Terms are the words and their first 4, 5 and 6 bytes; the model keeps the `features` terms that
-    tell the labels apart most (a likelihood ratio of `least` or more). A document's score is the machine's probability
-    for the terms present in its whole text. Null and empty texts have no term: they score as the
-    bias says. Without labels, or with one class only, all documents score the share of ones (0.0 without labels).
-    A doc_id labelled twice is toxic if either label says so; null labels and ids teach nothing. A null doc_id is held out = false.
-    Extra columns are ignored; no documents give no rows.
-    """
+
+def learn_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, least: float = 15.0):
+    """A function from a column of texts to their scores, learnt as score_toxicity says."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    fold = lambda c: F.coalesce(F.crc32(c.cast("string")) % FOLDS == 0, F.lit(False))
-    known = labels.where("doc_id is not null and toxic is not null").where(~fold(F.col("doc_id")))
+    known = labels.where("doc_id is not null and toxic is not null").where(~_fold(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("long").alias("label"))
     share = int(min(1.0, sample / max(1, known.count())) * 1_000_000)
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share)
@@ -140,16 +134,48 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000
     else:
         model.bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (40.0 if prior else -800.0)
 
-    def score(batches):
+    scratch.drop()
+
+    def score(column) -> np.ndarray:
         chosen = np.zeros(BUCKETS, bool)
         chosen[slot] = True
-        for batch in batches:
-            data, offsets = wordhash.utf8(batch.column("text"))
-            out = np.zeros(batch.num_rows)
-            for lo, hi in wordhash.chunks(offsets):
-                d, f = _active(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], chosen, slot)
-                out[lo:hi] = 1 / (1 + np.exp(-np.clip(model.margins(d, f, hi - lo), -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(out)], names=["doc_id", "score"])
-
-    scored = docs.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        data, offsets = wordhash.utf8(column)
+        out = np.zeros(len(offsets) - 1)
+        for lo, hi in wordhash.chunks(offsets):
+            d, f = _active(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], chosen, slot)
+            out[lo:hi] = 1 / (1 + np.exp(-np.clip(model.margins(d, f, hi - lo), -700, 700)))
+        return out
+
+    return score
+
+
+def score_toxicity(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every document, learnt from `labels` (doc_id, toxic).
+
+    Learns only from rows whose crc32(doc_id as text) mod 5 is not 0, and from about `sample` of them
+    at most (chosen by a hash of doc_id; texts that repeat count once). Terms are the words and their first 4, 5 and 6 bytes; the model keeps the `features` terms that
+    tell the labels apart most (a likelihood ratio of `least` or more). A document's score is the machine's probability
+    for the terms present in its whole text. Null and empty texts have no term: they score as the
+    bias says. Without labels, or with one class only, all documents score the share of ones (0.0 without labels).
+    A doc_id labelled twice is toxic if either label says so; null labels and ids teach nothing. A null doc_id is held out = false.
+    Extra columns are ignored; no documents give no rows.
+    """
+    score = learn_toxicity(documents, labels, **settings)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(b.column("text")))], names=["doc_id", "score"])
+
+    scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", _fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of `documents`, all their columns unchanged, that don't score 0.5 or more."""
+    score = learn_toxicity(documents, labels, **settings)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(score(b.column("text")) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
