@@ -112,16 +112,17 @@ def _confirm(percent):
 
 
 def _compare(percent, least):
-    """Rows (band, one, two, own, at, node, comp, n, shared, sig) by blocks of a band: likely pairs of different components.
+    """Rows (band, one, two, at, own, node, comp, n, shared, sig, items) by blocks of a band: links of different components.
 
-    A pair is given in the first band that it shares, and never where the shingles that a text shares with any other text under
-    question are too few for a link.
+    A pair is looked at in the first band that it shares, and never where the shingles that a text shares with any other text under
+    question are too few for a link; likely pairs are confirmed on their whole sets.
     """
 
     def pairs(rows, one, two, at):
         own = np.array([r[0] for r in rows])
         node, comp, n, shared = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
         sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+        items = [np.frombuffer(r[6], np.uint64) for r in rows]
         bands = sig.reshape(len(rows), REGISTERS // ROWS, ROWS)
         left, right = (np.flatnonzero(own == k) for k in (one, two))
         for lo in range(0, len(left), 16):
@@ -143,11 +144,14 @@ def _compare(percent, least):
                 good = likely_similarity((sig[x] > sig[y]).sum(1), (sig[x] < sig[y]).sum(1), n[x].astype(float), n[y].astype(float)) >= least
                 x, y = x[good], y[good]
                 first = (bands[x] == bands[y]).all(2).argmax(1) == at if len(x) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[first]]), pa.array(node[y[first]])], names=["a", "b"])
+                x, y = x[first], y[first]
+                both = np.array([len(np.intersect1d(items[i], items[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
+                links = (both > 0) & (100 * both >= percent * (n[x] + n[y] - both))
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[links]]), pa.array(node[y[links]])], names=["a", "b"])
 
     def run(batches):
         key, rows = None, []
-        names = ("band", "one", "two", "at", "own", "node", "comp", "n", "shared", "sig")
+        names = ("band", "one", "two", "at", "own", "node", "comp", "n", "shared", "sig", "items")
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 if r[:4] != key and rows:
@@ -161,7 +165,7 @@ def _compare(percent, least):
     return run
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5, likely_rest: float = 0.6) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked by similar sets of 5-word shingles.
 
     Two documents are linked if 100 * |intersection| >= percent * |union|, confirmed on the full sets. Words are runs of bytes other than
@@ -208,27 +212,32 @@ def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5
     # a band of two has had its only pair tested
     rest = scratch.table(where.join(mixed(where).where("m > 2"), "band").drop("m"))
 
-    def spread(batches):
+    def whole(batches):
         for b in batches:
             sets = list(wordhash.shingle_sets(b.column("text")))
             ok = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, b.column("key").to_pylist(), strict=True)]
-            sets = [s if f else s[:0] for s, f in zip(sets, ok, strict=True)]
-            node = np.repeat(b.column("node").to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), pa.int64())], names=["node", "shingle"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"]).filter(pa.array(ok, pa.bool_()))
+
+    def spread(batches):
+        for b in batches:
+            items = b.column("items").to_pylist()
+            node = np.repeat(b.column("node").to_numpy(), [len(x) // 8 for x in items])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.frombuffer(b"".join(items), np.int64))], names=["node", "shingle"])
 
-    own = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(spread, "node long, shingle long")
+    sets = scratch.table(texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(whole, "node long, items binary"))
+    own = sets.mapInArrow(spread, "node long, shingle long")
     common = own.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = own.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
     fit = shared.join(classes.select("node", "n", "sig"), "node").where(F.col("shared") * 100 >= F.col("n") * percent)
     left = scratch.table(rest.join(fit, "node"))
     sized = left.join(mixed(left), "band").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    dealt = sized.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "band", F.least("own", "met").alias("one"), F.greatest("own", "met").alias("two"), "at", "own", "node", "comp", "n", "shared", "sig"
+    dealt = sized.join(sets, "node").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
+        "band", F.least("own", "met").alias("one"), F.greatest("own", "met").alias("two"), "at", "own", "node", "comp", "n", "shared", "sig", "items"
     )
     more = scratch.table(
-        dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_compare(percent, likely_rest), "a long, b long")
+        dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_compare(percent, likely), "a long, b long")
     )
-    links = links.unionByName(confirmed(more))
+    links = links.unionByName(more)
     joined = components(scratch, links).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
     of_class = scratch.table(classes.select("key", "node", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "least", "comp"))
     lowest = of_class.groupBy("comp").agg(F.min("least").alias("component"))
