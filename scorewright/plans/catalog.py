@@ -5,11 +5,307 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorewright.functions import json as J
+from scorewright.functions import text as T
+from scorewright.functions import vectors as V
+from scorewright.operators import chat, entities, rewards, sampling, similarity, steps
+from scorewright.sources import records, sinks
+
+BATCH = 8
+# Invented rows for operators whose inputs the tables don't hold.
+PAIRS = [
+    (1, "Take 10mg aspirin daily for fever.", "Take 10mg aspirin daily for fever."),
+    (2, "Take 10mg aspirin daily for fever.", "Take 20mg aspirin daily for fever."),
+    (3, "The cough lasts; give 5 ml twice.", ""),
+    (4, "", "  "),
+    (5, "Patient has diabetes and pain.", "Patient has hypertension and pain, 100mg/day."),
+    (6, "患者 发烧 ，服用 10 mg 。", "患者 发烧 ，服用 20 mg 。"),
+    (7, "no entity here", "none at all there"),
+    (8, "nausea nausea nausea", "nausea 3 x daily"),
+]
+TAGGED = [
+    (1, "<think>a</think><answer> 42 </answer>"), (2, "<think>a</think><answer>b</answer>\n"), (3, "<think>a\nb</think><answer>c</answer>"),
+    (4, "x <answer>1</answer><answer>2</answer> #### 7"), (5, "  bare \t"), (6, "####"), (7, "a####b####c"), (8, None), (9, "<think></think><answer></answer>"),
+]
+JSON_LINES = [
+    (0, '{"text": " one ", "prompt": "p"}'), (1, '{"text": "  ", "input": "two"}'), (2, '{"prompt": null, "question": "q"}'), (3, '{"original": "o", "answer": "a"}'),
+    (4, '{"other": 1}'), (5, ' not json '), (6, ""), (7, "17"), (8, '{"prompt": "x", "response": "r"}'), (9, '{"prompt": null, "text": "t", "answer": null}'),
+]
+MATHS = [(1, "<answer>72</answer>", "so #### 72"), (2, "the end 5", "#### 5"), (3, r"\boxed{\frac{1}{2}}", "0.5"), (4, "1,000", "1000"), (5, "3/4", "0.7"), (6, None, "1")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("original"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("revised"))
+    return asked.join(said, ["conv_id", "turn"])
+
+
+def basic_reward(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(rewards.basic_reward(F.col("original"), F.col("revised")), 6).alias("reward"))
+
+
+def _indexed(spark, sf_dir):
+    scored = _pairs(spark, sf_dir).select("conv_id", "turn", rewards.basic_reward(F.col("original"), F.col("revised")).alias("reward"))
+    return steps.with_index(scored, "conv_id", "turn")
+
+
+def basic_reward_batch_stats(spark, sf_dir):
+    stats = steps.batch_stats(_indexed(spark, sf_dir), BATCH)
+    return stats.select("step", *[F.round(c, 6).alias(c) for c in ("reward_mean", "reward_min", "reward_max")], "n")
+
+
+def ema_baseline(spark, sf_dir):
+    return steps.ema(steps.batch_stats(_indexed(spark, sf_dir), BATCH)).select("step", F.round("baseline", 6).alias("baseline"))
+
+
+def advantage(spark, sf_dir):
+    indexed = _indexed(spark, sf_dir)
+    out = steps.advantages(indexed, steps.ema(steps.batch_stats(indexed, BATCH)), BATCH)
+    return out.select("conv_id", "turn", F.round("advantage", 5).alias("advantage"))
+
+
+def epoch_batches(spark, sf_dir):
+    indexed = _indexed(spark, sf_dir)
+    made = steps.epochs(indexed, 2, BATCH, indexed.count())
+    return made.groupBy("epoch", "batch_idx", "steps_per_epoch").agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("reward_mean"))
+
+
+def chat_template(spark, sf_dir):
+    messages = chat.conversations_to_messages(_table(spark, sf_dir, "conversations"))
+    return messages.select("conv_id", chat.template(F.col("messages")).alias("text"))
+
+
+def bounded_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.bounded(F.col("text")).alias("text"))
+
+
+def token_length_filter(spark, sf_dir):
+    docs = chat.tokenized(_table(spark, sf_dir, "documents").select("doc_id", "text"), 2048)
+    return chat.length_filter(docs).select("doc_id", F.size("input_tokens").cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", "input_tokens").cast("binary")).alias("tokens_md5"))
+
+
+def normalize_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.normalize(F.col("html")).alias("text"))
+
+
+def strip_text(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "　 \t x \x1c\x85"), (2, " \n"), (3, ""), (4, "a ")], "id long, text string")
+    return rows.select("id", T.strip(F.col("text")).alias("text"))
+
+
+def ordered_dedup(spark, sf_dir):
+    return sampling.keep_first(_table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _tagged(spark):
+    return spark.createDataFrame(TAGGED, "id long, text string")
+
+
+def extract_answer(spark, sf_dir):
+    return _tagged(spark).select("id", T.answer(F.col("text")).alias("answer"))
+
+
+def format_reward(spark, sf_dir):
+    return _tagged(spark).select("id", rewards.format_reward(F.col("text")).alias("reward"))
+
+
+def split_marker(spark, sf_dir):
+    return _tagged(spark).select("id", T.after_marker(F.col("text")).alias("tail"))
+
+
+def _json_rows(spark):
+    return spark.createDataFrame(JSON_LINES, "idx long, line string")
+
+
+def first_text_key(spark, sf_dir):
+    return records.texts_of(_json_rows(spark))
+
+
+def prompt_answer_defaults(spark, sf_dir):
+    rows = _json_rows(spark).withColumn("p", J.parse(F.col("line"))).where("p.kind = 'object'")
+    return records.prompt_answer(rows.select("idx", F.col("p.canon").alias("record")))
+
+
+def json_salvage(spark, sf_dir):
+    rows = [(0, 'say {"a": 1} now'), (1, '```json {"b": 2} ```'), (2, "nothing"), (3, '{"c": [1, 2]}'), (4, '```json [3] ```')]
+    return records.salvaged(spark.createDataFrame(rows, "idx long, line string"))
+
+
+def event_props(spark, sf_dir):
+    props = _table(spark, sf_dir, "events").select("event_id", J.parse(F.col("props")).alias("p")).where("p.ok")
+    return props.select("event_id", J.field(F.col("p.canon"), "k")["text"].alias("k"))
+
+
+def _inline(spark):
+    return spark.createDataFrame(PAIRS, "pair_id long, original string, revised string")
+
+
+def entity_spans(spark, sf_dir):
+    found = _inline(spark).select("pair_id", F.explode(entities.entities(F.col("revised"))).alias("e"))
+    return found.select("pair_id", "e.text", "e.start", "e.end", "e.type")
+
+
+GENERIC = {"SYMPTOM": ("the", "for"), "DISEASE": ("und", "der"), "DRUG": ("les", "que")}
+
+
+def entity_counts(spark, sf_dir):
+    found = _table(spark, sf_dir, "documents").select(F.explode(entities.texts_by_type(F.col("text"), GENERIC)).alias("type", "texts"))
+    return found.groupBy("type").agg(F.sum(F.size("texts")).alias("n"), F.sum(F.length(F.concat_ws("", "texts"))).alias("chars"))
+
+
+def _vocabulary(spark, sf_dir):
+    tokens = _inline(spark).select(F.explode(F.array("original", "revised")).alias("t")).select(F.explode(T.tokens(F.col("t"))).alias("token")).distinct()
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vector"))
+    return tokens.withColumn("slot", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(100))).join(vectors, "slot").select("token", "vector")
+
+
+def entity_similarity(spark, sf_dir):
+    rows = _inline(spark).select("pair_id", entities.entities(F.col("original")).alias("entities_o"), entities.entities(F.col("revised")).alias("entities_r"))
+    return similarity.entity_similarity(rows, _vocabulary(spark, sf_dir)).select("pair_id", F.round("r_e", 6).alias("r_e"))
+
+
+def advanced_reward(spark, sf_dir):
+    out = rewards.advanced_reward(_inline(spark), _vocabulary(spark, sf_dir))
+    return out.select("pair_id", *[F.round(c, 6).alias(c) for c in ("r_e", "r_t", "reward")])
+
+
+def cosine_pairs(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return vectors.join(after, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("next")), 5).alias("cosine"))
+
+
+def greedy_f1(spark, sf_dir):
+    groups = _table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 8).alias("g")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    halves = groups.select("g", *[F.transform(F.slice("v", a, 4), lambda s: s["embedding"]).alias(c) for a, c in ((1, "x"), (5, "y"))])
+    return halves.select("g", F.round(V.greedy_f1(F.col("x"), F.col("y")), 5).alias("f1"))
+
+
+def sequence_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(similarity.sequence_ratio(F.col("original"), F.col("revised")), 6).alias("ratio"))
+
+
+def token_alignment(spark, sf_dir):
+    aligned = similarity.align(T.tokens(F.col("original")), T.tokens(F.col("revised")))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.posexplode(aligned).alias("pos", "a")).select("conv_id", "turn", "pos", "a.o", "a.r")
+
+
+def accuracy_reward(spark, sf_dir):
+    rows = spark.createDataFrame(MATHS, "id long, content string, solution string")
+    return rows.select("id", rewards.accuracy_reward(F.col("content"), F.col("solution")).alias("reward"))
+
+
+def sample_n(spark, sf_dir):
+    return sampling.sample_n(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50)
+
+
+def split_90_10(spark, sf_dir):
+    return sampling.split(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def trainable_weights(spark, sf_dir):
+    scores = spark.createDataFrame([(1, 0.8, 0.7), (2, 0.6, 0.8), (3, 0.9, 0.85)], "id long, r_e double, r_t double")
+    weights = steps.FusionWeights()
+    return scores.select("id", F.round(weights.forward(F.col("r_e"), F.col("r_t")), 6).alias("reward"))
+
+
+def question_prompts(spark, sf_dir):
+    bench = _table(spark, sf_dir, "benchmark")
+    return bench.select("item_id", F.explode(chat.question_prompt(F.col("text"))).alias("m")).select("item_id", "m.role", "m.content")
+
+
+def jsonl_export(spark, sf_dir):
+    return sinks.as_json(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+
+
+_NAMES = (
+    basic_reward, basic_reward_batch_stats, ema_baseline, advantage, epoch_batches, chat_template, bounded_text, token_length_filter, normalize_text, strip_text,
+    ordered_dedup, extract_answer, format_reward, split_marker, first_text_key, prompt_answer_defaults, json_salvage, event_props, entity_spans, entity_counts,
+    entity_similarity, advanced_reward, cosine_pairs, greedy_f1, sequence_ratio, token_alignment, accuracy_reward, sample_n, split_90_10, trainable_weights,
+    question_prompts, jsonl_export,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _NAMES}
+
+
+def _q(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows, names: str) -> str:
+    listed = ", ".join("(" + ", ".join(_q(x) if x is None or isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"(VALUES {listed}) AS t({names})"
+
+
+_WS = " || ".join(f"chr({ord(c)})" for c in T.WHITE)
+_TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}\\s]')"
+_SCORED = f"""
+pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS o, a.text AS r FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+), tok AS (
+  SELECT *, trim(o, {_WS}) AS so, trim(r, {_WS}) AS sr, list_distinct({_TOKENS.format("o")}) AS x, list_distinct({_TOKENS.format("r")}) AS y FROM pairs
+), scored AS (
+  SELECT conv_id, turn, CASE WHEN so = sr THEN 1.0::DOUBLE WHEN sr = '' THEN 0.05::DOUBLE
+    WHEN len(x) + len(y) = 0 THEN 0.5::DOUBLE
+    ELSE (1.0::DOUBLE + len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y)))) / 2.0::DOUBLE END AS reward FROM tok
+), placed AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx FROM scored)"""
+_STATS = f"{_SCORED}, stats AS (SELECT CAST(idx // {BATCH} AS BIGINT) AS step, avg(reward) AS reward_mean, min(reward) AS reward_min, max(reward) AS reward_max, count(*) AS n FROM placed GROUP BY 1)"
+# weights of earlier means: b_t = sum over s <= t of 0.1 * 0.9 ** (t - s) * m_s
+_EMA = f"{_STATS}, ema AS (SELECT t.step, sum(0.1::DOUBLE * pow(0.9::DOUBLE, t.step - s.step) * s.reward_mean) AS baseline FROM stats t JOIN stats s ON s.step <= t.step GROUP BY t.step)"
+_MD5_ORDER = "md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    tagged = _values(TAGGED, "id, text")
+    found = "CASE WHEN regexp_matches(text, '(?s)<answer>.*?</answer>') THEN regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1) ELSE text END"
+    lines = _values(JSON_LINES, "idx, line")
+    keyed = ", ".join(f"nullif(trim(CASE WHEN json_type(line, '$.{k}') = 'VARCHAR' THEN json_extract_string(line, '$.{k}') END, {_WS}), '')" for k in records.TEXT_KEYS)
+    counts = " UNION ALL ".join(
+        f"SELECT '{k}' AS type, w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS w FROM documents) WHERE w IN ({', '.join(_q(x) for x in w)})"
+        for k, w in GENERIC.items()
+    )
+    cos = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+    best = "list_avg([list_max([" + cos.format("p", "q") + " FOR q IN {1}]) FOR p IN {0}])"
+    return {
+        "basic_reward": f"WITH {_SCORED} SELECT conv_id, turn, round(reward, 6) AS reward FROM scored",
+        "basic_reward_batch_stats": f"WITH {_STATS} SELECT step, round(reward_mean, 6) AS reward_mean, round(reward_min, 6) AS reward_min, round(reward_max, 6) AS reward_max, n FROM stats",
+        "ema_baseline": f"WITH {_EMA} SELECT step, round(baseline, 6) AS baseline FROM ema",
+        "advantage": f"WITH {_EMA} SELECT conv_id, turn, round(reward - baseline, 5) AS advantage FROM placed JOIN ema ON ema.step = placed.idx // {BATCH}",
+        "epoch_batches": f"WITH {_SCORED} SELECT CAST(epoch AS INTEGER) AS epoch, CAST(idx // {BATCH} + 1 AS BIGINT) AS batch_idx, greatest(1, (SELECT count(*) FROM placed) // {BATCH}) AS steps_per_epoch, count(*) AS n, round(avg(reward), 6) AS reward_mean FROM placed, range(2) e(epoch) GROUP BY 1, 2",
+        "chat_template": f"""SELECT conv_id, trim(coalesce(string_agg(CASE role WHEN 'user' THEN '### Human:' || chr(10) || coalesce(text, 'None') || chr(10) || chr(10)
+            WHEN 'assistant' THEN '### Assistant:' || chr(10) || coalesce(text, 'None') || chr(10) || chr(10) END, '' ORDER BY turn), ''), {_WS}) AS text FROM conversations GROUP BY conv_id""",
+        "bounded_text": "SELECT doc_id, CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || '...' ELSE text END AS text FROM documents",
+        "token_length_filter": f"WITH t AS (SELECT doc_id, list_slice({_TOKENS.format('text')}, 1, 2048) AS x FROM documents) SELECT doc_id, len(x) AS n_tokens, md5(array_to_string(x, ' ')) AS tokens_md5 FROM t WHERE len(x) BETWEEN 1 AND 2048",
+        "normalize_text": f"SELECT page_id, coalesce(regexp_replace(lower(trim(html, {_WS})), '[' || {_WS} || ']+', ' ', 'g'), '') AS text FROM pages",
+        "strip_text": f"SELECT id, trim(text, {_WS}) AS text FROM (VALUES (1, chr(12288) || chr(160) || chr(9) || ' x ' || chr(28) || chr(133)), (2, ' ' || chr(10)), (3, ''), (4, 'a' || chr(8232))) AS t(id, text)".replace("SELECT id", "SELECT CAST(id AS BIGINT) AS id", 1),
+        "ordered_dedup": "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text",
+        "extract_answer": f"SELECT CAST(id AS BIGINT) AS id, coalesce(trim({found}, {_WS}), '') AS answer FROM {tagged}",
+        "format_reward": rf"SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(text, '^<think>[^\n]*?</think><answer>[^\n]*?</answer>\n?$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM {tagged}",
+        "split_marker": f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN instr(text, '####') > 0 THEN substring(text, instr(text, '####') + 4) ELSE text END AS tail FROM {tagged}",
+        "first_text_key": f"""WITH j AS (SELECT idx, line, CASE WHEN NOT json_valid(line) OR json_type(CASE WHEN json_valid(line) THEN line END) <> 'OBJECT' THEN trim(line, {_WS})
+            ELSE coalesce({keyed}) END AS text FROM {lines} WHERE trim(line, {_WS}) <> '') SELECT CAST(idx AS BIGINT) AS idx, text FROM j WHERE text IS NOT NULL""",
+        "prompt_answer_defaults": f"""WITH j AS (SELECT * FROM {lines} WHERE json_valid(line) AND line LIKE '{{%')
+            SELECT CAST(idx AS BIGINT) AS idx, CASE WHEN json_exists(line, '$.prompt') THEN json_extract_string(line, '$.prompt') WHEN json_exists(line, '$.text') THEN json_extract_string(line, '$.text') ELSE '' END AS prompt,
+            CASE WHEN json_exists(line, '$.answer') THEN json_extract_string(line, '$.answer') WHEN json_exists(line, '$.response') THEN json_extract_string(line, '$.response') ELSE '' END AS answer FROM j""",
+        "event_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_valid(props)",
+        "entity_counts": f"SELECT type, count(*) AS n, CAST(sum(length(w)) AS BIGINT) AS chars FROM ({counts}) GROUP BY type",
+        "cosine_pairs": f"SELECT a.vec_id, round({cos.format('a.embedding', 'b.embedding')}, 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+        "greedy_f1": f"""WITH g AS (SELECT vec_id // 8 AS g, list(embedding ORDER BY vec_id) AS v FROM embeddings GROUP BY 1), h AS (SELECT g, v[1:4] AS x, v[5:8] AS y FROM g),
+            s AS (SELECT g, {best.format('x', 'y')} AS p, {best.format('y', 'x')} AS r FROM h)
+            SELECT g, round(CASE WHEN p IS NULL OR r IS NULL OR p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 5) AS f1 FROM s""",
+        "sample_n": f"SELECT doc_id, lang FROM documents ORDER BY {_MD5_ORDER} LIMIT 50",
+        "split_90_10": f"SELECT doc_id, row_number() OVER (ORDER BY {_MD5_ORDER}) <= ceil(0.1 * (SELECT count(*) FROM documents)) AS is_test FROM documents",
+        "trainable_weights": "SELECT CAST(id AS BIGINT) AS id, round(0.5::DOUBLE * r_e + 0.5::DOUBLE * r_t, 6) AS reward FROM (VALUES (1, 0.8::DOUBLE, 0.7::DOUBLE), (2, 0.6, 0.8), (3, 0.9, 0.85)) AS t(id, r_e, r_t)",
+        "question_prompts": f"SELECT item_id, role, CASE role WHEN 'system' THEN {_q(chat.SYSTEM_PROMPT)} ELSE text END AS content FROM benchmark, (VALUES ('system'), ('user')) AS r(role)",
+        "jsonl_export": "SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS VARCHAR) AS value FROM documents",
+    }

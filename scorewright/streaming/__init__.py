@@ -1,0 +1 @@
+"""No operator here: the engine's inputs are tables and files, and its ordered mini-batches are a column, not a stream."""
