@@ -51,11 +51,14 @@ def advanced_reward(pairs: DataFrame, vocabulary: DataFrame, key: str = "pair_id
     o, r = (F.coalesce(F.col(c), F.lit("")) for c in ("original", "revised"))
     base = pairs.select(key, o.alias("original"), r.alias("revised"))
     base = base.withColumn("guard", guarded(F.col("original"), F.col("revised"), F.lit(None).cast("double")))
-    open_ = base.where("guard is null")
-    scored = entity_similarity(open_.select(key, entities(F.col("original")).alias("entities_o"), entities(F.col("revised")).alias("entities_r")), vocabulary, key)
-    scored = open_.select(key, "original", "revised").join(scored, key).withColumn("r_t", sequence_ratio(F.col("original"), F.col("revised")))
-    decided = base.where("guard is not null").select(key, F.lit(None).cast("double").alias("r_e"), F.lit(None).cast("double").alias("r_t"), F.col("guard").alias("reward"))
-    return decided.unionByName(scored.select(key, "r_e", "r_t", fuse(F.col("r_e"), F.col("r_t"), weight_e, weight_t).alias("reward")))
+    # a guarded pair carries null texts to the costly branch, which gives it nothing to do
+    text = lambda c: F.when(F.col("guard").isNull(), F.col(c))
+    base = base.select(key, "guard", text("original").alias("original"), text("revised").alias("revised"))
+    base = base.withColumn("r_t", sequence_ratio(F.col("original"), F.col("revised")))
+    scored = entity_similarity(base.select(key, entities(F.col("original")).alias("entities_o"), entities(F.col("revised")).alias("entities_r")), vocabulary, key)
+    out = base.select(key, "guard", "r_t").join(scored, key)
+    r_e = F.when(F.col("guard").isNull(), F.col("r_e"))
+    return out.select(key, r_e.alias("r_e"), "r_t", F.coalesce("guard", fuse(r_e, F.col("r_t"), weight_e, weight_t)).alias("reward"))
 
 
 REWARDS = {"basic": basic_reward}

@@ -102,7 +102,8 @@ def _array(spark: SparkSession, path: str, objects_too: bool) -> DataFrame:
     if kind is None or not kind.ok or not (kind.kind == "array" or objects_too and kind.kind == "object"):
         raise ValueError(f"{path}: the root is not an array")
     items = F.from_json(F.when(F.col("p.kind") == "object", F.concat(F.lit("["), F.col("p.canon"), F.lit("]"))).otherwise(F.col("p.canon")), "array<string>")
-    return whole.select(F.posexplode(items).alias("pos", "record")).select(F.col("pos").cast("long").alias("idx"), "record")
+    each = whole.select(F.posexplode(items).alias("pos", "record"))
+    return each.select(F.col("pos").cast("long").alias("idx"), F.coalesce(J.parse(F.col("record"))["canon"], "record").alias("record"))
 
 
 def dataset(spark: SparkSession, path: str, most: int = -1) -> DataFrame:
