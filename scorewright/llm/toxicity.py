@@ -143,7 +143,8 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 20_000
         out = np.zeros(len(offsets) - 1)
         for lo, hi in wordhash.chunks(offsets):
             d, f = _active(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], chosen, slot)
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(model.margins(d, f, hi - lo), -700, 700)))
+            with np.errstate(over="ignore"):
+                out[lo:hi] = 1 / (1 + np.exp(-model.margins(d, f, hi - lo)))
         return out
 
     return score
