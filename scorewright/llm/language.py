@@ -41,16 +41,15 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     return (left[at] * KINDS + kind[at]) * KINDS + right[at], np.searchsorted(at, offsets)
 
 
-def _mixture(like, owner, first, live, allowed, rounds: int):
-    """(shares, log likelihoods) of each live document's mixture of its allowed languages."""
+def _mixture(like, weight, first, size, allowed, rounds: int):
+    """(shares, log likelihoods) of each document's mixture of its allowed languages; its grams start at `first` and have weights."""
     share = allowed / allowed.sum(1, keepdims=True)
-    size = np.bincount(owner, minlength=len(live)).astype(float)
+    n = np.diff(np.append(first, len(like)))
     for _ in range(rounds):
-        part = like * share[owner]
-        part /= part.sum(1, keepdims=True)
+        part = like * np.repeat(share, n, axis=0)
+        part *= (weight / part.sum(1))[:, None]
         share = np.add.reduceat(part, first, axis=0) / size[:, None]
-    total = np.add.reduceat(np.log((like * share[owner]).sum(1)), first)
-    return share, total
+    return share, np.add.reduceat(np.log((like * np.repeat(share, n, axis=0)).sum(1)) * weight, first)
 
 
 def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least_share: float = 0.02):
@@ -65,16 +64,20 @@ def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least
     live = np.flatnonzero(np.diff(bounds))
     if not len(live) or not langs:
         return best, sure
-    size = np.diff(bounds)[live]
-    first = bounds[live]
-    owner = np.repeat(np.arange(len(live)), size)
-    logs = table[codes]
-    alone = np.add.reduceat(logs, first, axis=0)
+    size = np.diff(bounds)[live].astype(float)
+    # a gram that a document repeats counts as one with a weight
+    owner = np.repeat(np.arange(len(live)), np.diff(bounds)[live])
+    pairs, weight = np.unique(owner * len(table) + codes, return_counts=True)
+    first = np.searchsorted(pairs, np.arange(len(live)) * len(table))
+    many = np.diff(np.append(first, len(pairs)))
+    logs = table[pairs % len(table)].astype(float)
+    weight = weight.astype(float)
     # each gram's likelihoods relative to its best language: no underflow, and the same constant in every set
     top = logs.max(1)
+    constant = np.add.reduceat(top * weight, first)
+    alone = np.add.reduceat((logs - top[:, None]) * weight[:, None], first, axis=0) + constant[:, None]
     like = np.exp(logs - top[:, None])
-    constant = np.add.reduceat(top, first)
-    full, _ = _mixture(like, owner, first, live, np.ones((len(live), langs)), rounds)
+    full, _ = _mixture(like, weight, first, size, np.ones((len(live), langs)), rounds)
     order = np.argsort(-full, axis=1, kind="stable")
     pick = alone.argmax(1)
     value = alone[np.arange(len(live)), pick]
@@ -86,9 +89,11 @@ def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least
             break
         allowed = np.zeros((len(some), langs))
         np.put_along_axis(allowed, order[some, :k], 1.0, 1)
-        rows = np.concatenate([np.arange(first[i] - first[0], first[i] - first[0] + size[i]) for i in some]) if len(some) < len(live) else np.arange(len(owner))
-        starts = np.concatenate([[0], np.cumsum(size[some])[:-1]])
-        share, total = _mixture(like[rows], np.repeat(np.arange(len(some)), size[some]), starts, some, allowed, rounds)
+        chosen = np.zeros(len(live), bool)
+        chosen[some] = True
+        rows = np.repeat(chosen, many)
+        starts = np.concatenate([[0], np.cumsum(many[some])[:-1]])
+        share, total = _mixture(like[rows], weight[rows], starts, size[some], allowed, rounds)
         worth = total + constant[some] - penalty * (k - 1) * np.log(size[some] + 1)
         better = worth > value[some]
         value[some[better]] = worth[better]
