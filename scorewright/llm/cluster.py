@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes that go to Python at once: texts are long, and two workers share an executor's memory with its heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Keeps the batches of texts that this session hands to Python small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the folder all executors share; they survive lost executors and cut lineage.
 
@@ -19,6 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, []
+        lean(spark)
         context = spark.sparkContext
         root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not root:
