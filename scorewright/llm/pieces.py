@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MEMO_WORDS = 400_000
+_MEMO_WORDS, _MEMO_PAIRS = 400_000, 4_000_000
+LONG = 48
 _models: dict = {}
 
 
@@ -42,6 +43,7 @@ class PieceTable:
         # characters that no longer piece holds end a word, so that lines don't glue words together
         self.word = re.compile(f"[{re.escape(''.join(sorted(alone)))}]|{SPACE}*[^{SPACE}{re.escape(''.join(sorted(alone)))}]+|{SPACE}+")
         self.fits: dict = {}
+        self.pairs, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merged(self, text: str) -> list[str]:
         """Pieces by repeated merging: always the best-scored adjacent pair that makes a piece, the first of equals."""
@@ -67,6 +69,25 @@ class PieceTable:
             self.fits[key] = known = self.merged(left + right) == [left, right]
         return known
 
+    def fits_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`fit` of pairs of ids, true where the left one is -1 (a word's start); known pairs are kept sorted."""
+        key = left * len(self.text) + right
+        unique, which = np.unique(key[left >= 0], return_inverse=True)
+        where = np.minimum(np.searchsorted(self.pairs, unique), max(len(self.pairs) - 1, 0))
+        known = self.pairs[where] == unique if len(self.pairs) else np.zeros(len(unique), bool)
+        good = np.zeros(len(unique), bool)
+        good[known] = self.pair_fits[where[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            text = self.text
+            good[new] = [self.merged(text[k // len(text)] + text[k % len(text)]) == [text[k // len(text)], text[k % len(text)]] for k in unique[new].tolist()]
+            pairs, fits = np.concatenate([self.pairs, unique[new]]), np.concatenate([self.pair_fits, good[new]])
+            order = np.argsort(pairs, kind="stable")
+            self.pairs, self.pair_fits = (pairs[order], fits[order]) if len(pairs) <= _MEMO_PAIRS else (unique, good)
+        out = np.ones(len(key), bool)
+        out[left >= 0] = good[which]
+        return out
+
     def resolve(self, part: str) -> list[int]:
         i = self.ids.get(part)
         if i is not None:
@@ -126,6 +147,68 @@ def lattice(words: list[str], table: PieceTable):
     return own, start - offsets[own], start + size - offsets[own], ids
 
 
+def _fold_one(word: str, edges, table: PieceTable) -> list[str]:
+    """The pieces of one word from its (start, end, id) edges by end and start; see encode_words."""
+    text, fit = table.text, table.fit
+    last: list = [("", -1)] + [None] * len(word)  # for each position the last piece up to it, and that piece's start
+    k = 0
+    for at in range(1, len(word) + 1):
+        while k < len(edges) and edges[k][1] == at:
+            start, _, i = edges[k]
+            before = last[start]
+            if last[at] is None and before is not None and (before[1] < 0 or fit(before[0], text[i])):
+                last[at] = (text[i], start)
+            k += 1
+        if last[at] is None and last[at - 1] is not None and word[at - 1] not in table.ids:
+            last[at] = (word[at - 1], at - 1)
+    if last[-1] is None:
+        return table.merged(word)
+    parts, at = [], len(word)
+    while at > 0:
+        piece, at = last[at]
+        parts.append(piece)
+    return parts[::-1]
+
+
+def _fold_many(own, start, end, ids, lengths, table: PieceTable):
+    """(word, ids in reverse, words without a path) of words whose every character is a piece, all words at a time.
+
+    Edges come by word, end and start, so a longer piece comes first; each round tries the next edge of the words that have none yet at a position.
+    """
+    n, wide = len(lengths), int(lengths.max(initial=0))
+    piece = np.full((n, wide + 1), -2, np.int64)
+    since = np.zeros((n, wide + 1), np.int64)
+    piece[:, 0] = -1
+    order = np.lexsort((start, own, end))
+    own, start, end, ids = own[order], start[order], end[order], ids[order]
+    cuts = np.searchsorted(end, np.arange(wide + 2))
+    for at in range(1, wide + 1):
+        rows = np.arange(cuts[at], cuts[at + 1])
+        before = piece[own[rows], start[rows]]
+        rows, before = rows[before > -2], before[before > -2]
+        while len(rows):
+            word = own[rows]
+            lead = np.ones(len(rows), bool)
+            lead[1:] = word[1:] != word[:-1]
+            head = np.flatnonzero(lead)
+            good = table.fits_many(before[head], ids[rows[head]])
+            take = rows[head[good]]
+            piece[own[take], at] = ids[take]
+            since[own[take], at] = start[take]
+            rest = ~lead & (piece[word, at] == -2)
+            rows, before = rows[rest], before[rest]
+    place = np.arange(n)
+    at = lengths.copy()
+    lost = piece[place, at] == -2
+    at[lost] = 0
+    words, found = [], []
+    while (live := np.flatnonzero(at)).size:
+        words.append(live)
+        found.append(piece[live, at[live]])
+        at[live] = since[live, at[live]]
+    return (np.concatenate(words), np.concatenate(found), lost) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64), lost)
+
+
 def encode_words(words: list[str], table: PieceTable) -> list[bytes]:
     """The ids (int32) of each word: a fold over the word's edges, ending position by ending position.
 
@@ -133,37 +216,29 @@ def encode_words(words: list[str], table: PieceTable) -> list[bytes]:
     for each position in place of a score (sums of a BPE model's scores don't rank its paths). A character that
     is no piece is an edge of its own. A word in which a position is left without a piece is merged pair by pair.
     """
-    own, start, end, ids = (x.tolist() for x in lattice(words, table))
-    out, e = [], 0
-    text, fit = table.text, table.fit
-    for w, word in enumerate(words):
-        first = e
-        while e < len(own) and own[e] == w:
-            e += 1
-        last: list = [("", -1)] + [None] * len(word)  # for each position the last piece up to it, and that piece's start
-        k = first
-        for at in range(1, len(word) + 1):
-            while k < e and end[k] == at:
-                before = last[start[k]]
-                if last[at] is None and before is not None:
-                    piece = text[ids[k]]
-                    if before[1] < 0 or fit(before[0], piece):
-                        last[at] = (piece, start[k])
-                k += 1
-            if last[at] is None and last[at - 1] is not None and word[at - 1] not in table.ids:
-                last[at] = (word[at - 1], at - 1)
-        if last[-1] is None:
-            parts = table.merged(word)
-        else:
-            parts, at = [], len(word)
-            while at > 0:
-                piece, at = last[at]
-                parts.append(piece)
-            parts.reverse()
-        flat: list[int] = []
-        for p in parts:
-            flat += table.resolve(p)
-        out.append(np.array(flat, np.int32).tobytes())
+    own, start, end, ids = lattice(words, table)
+    lengths = np.array([len(w) for w in words], np.int64)
+    whole = np.bincount(own[end - start == 1], minlength=len(words)) == lengths
+    many = whole & (lengths <= LONG)
+    at = np.flatnonzero(many)
+    renamed = np.cumsum(many) - 1
+    rows = many[own]
+    word, found, lost = _fold_many(renamed[own[rows]], start[rows], end[rows], ids[rows], lengths[at], table)
+    out: list = [None] * len(words)
+    order = np.argsort(word, kind="stable")[::-1]  # by word, and from the first piece on
+    body = found[order].astype(np.int32)
+    bounds = np.searchsorted(-word[order], -np.arange(len(at)), "left")
+    ends = np.searchsorted(-word[order], -np.arange(len(at)), "right")
+    flat = body.tobytes()
+    for i, lo, hi, gone in zip(at.tolist(), bounds.tolist(), ends.tolist(), lost.tolist(), strict=True):
+        if not gone:
+            out[i] = flat[4 * lo : 4 * hi]
+    cuts = np.searchsorted(own, np.arange(len(words) + 1))
+    for i, done in enumerate(out):
+        if done is None:
+            lo, hi = cuts[i], cuts[i + 1]
+            parts = _fold_one(words[i], list(zip(start[lo:hi].tolist(), end[lo:hi].tolist(), ids[lo:hi].tolist(), strict=True)), table)
+            out[i] = np.array([x for p in parts for x in table.resolve(p)], np.int32).tobytes()
     return out
 
 
@@ -177,11 +252,17 @@ class Encoder:
         split = [self.table.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.memo) > _MEMO_WORDS:
             self.memo.clear()
-        new = list({w for words in split for w in words if w not in self.memo})
-        for lo in range(0, len(new), 50_000):
-            self.memo.update(zip(new[lo : lo + 50_000], encode_words(new[lo : lo + 50_000], self.table), strict=True))
         memo = self.memo
-        return [b"".join([memo[w] for w in words]) for words in split]
+        rows = [list(map(memo.get, words)) for words in split]
+        holes = [(i, [k for k, x in enumerate(row) if x is None]) for i, row in enumerate(rows) if None in row]
+        new = list({split[i][k] for i, at in holes for k in at})
+        for lo in range(0, len(new), 50_000):
+            memo.update(zip(new[lo : lo + 50_000], encode_words(new[lo : lo + 50_000], self.table), strict=True))
+        for i, at in holes:
+            row, words = rows[i], split[i]
+            for k in at:
+                row[k] = memo[words[k]]
+        return [b"".join(row) for row in rows]
 
 
 def decode(ids: np.ndarray, table: PieceTable) -> str:
