@@ -342,3 +342,43 @@ def round_trips(documents: DataFrame, model_file: str) -> DataFrame:
                 )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+
+
+def relational_lattice(words: DataFrame, model_file: str) -> DataFrame:
+    """(word, ids) of distinct words (their ▁ included) by Spark tables alone, but for the borders of pairs of pieces.
+
+    Substrings of at most the longest piece are exploded and equi-joined to the piece table (bounded by the vocabulary, so broadcast);
+    edges that touch give the pairs of pieces whose borders are looked up once each; edges and good pairs are grouped by word, and an
+    `aggregate` over the edges keeps for each position its last piece. Words with a character that is no piece, or without a path, have null ids:
+    encode_words takes those. The same ids as encode_words, for vocabularies; documents would have to be joined to it word by word.
+    """
+    spark = words.sparkSession
+    table = piece_table(model_file)
+    vocabulary = F.broadcast(spark.createDataFrame(list(table.ids.items()), "piece string, id int"))
+    base = words.select("word").where("word is not null and word <> ''").distinct()
+    start = base.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    most = F.least(F.lit(table.longest), F.length("word") - F.col("start"))
+    spans = start.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
+    spans = spans.select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.expr("substring(word, start + 1, size)").alias("piece"))
+    edges = spans.join(vocabulary, "piece").select("word", "start", "end", "id")
+    touching = edges.select("word", F.col("end").alias("at"), F.col("id").alias("p")).join(edges.select("word", F.col("start").alias("at"), F.col("id").alias("q")), ["word", "at"])
+
+    def borders(batches):
+        known = piece_table(model_file)
+        for b in batches:
+            good = known.fits_many(b.column("p").to_numpy().astype(np.int64), b.column("q").to_numpy().astype(np.int64))
+            yield b.filter(pa.array(good))
+
+    good = touching.select("p", "q").distinct().mapInArrow(borders, "p int, q int")
+    pairs = touching.join(good, ["p", "q"]).groupBy("word").agg(F.collect_set(F.struct("p", "q")).alias("pairs"))
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id"))).alias("edges")).join(pairs, "word", "left")
+    none = F.create_map(F.lit(0), F.struct(F.lit(-1).alias("id"), F.array().cast("array<int>").alias("ids")))
+
+    def step(last, e):
+        before = last[e["start"]]
+        fits = (before["id"] == -1) | F.array_contains("pairs", F.struct(before["id"].alias("p"), e["id"].alias("q")))
+        own = F.create_map(e["end"], F.struct(e["id"].alias("id"), F.concat(before["ids"], F.array(e["id"])).alias("ids")))
+        return F.when(last[e["end"]].isNull() & before.isNotNull() & fits, F.map_concat(last, own)).otherwise(last)
+
+    folded = F.aggregate("edges", none, step, lambda last: last[F.length("word")]["ids"])
+    return base.join(grouped.select("word", folded.alias("ids")), "word", "left").select("word", "ids")

@@ -449,3 +449,17 @@ def test_mixture_shares():
     best, share = language.mixtures(codes, np.array([0, 1000]), table, rounds=100)
     assert best[0] == 0 and abs(share[0] - 0.7) < 0.06
     assert language.mixtures(codes[:0], np.array([0, 0]), table)[0][0] == -1
+
+
+def test_relational_lattice(spark):
+    table = pieces.piece_table(MODEL)
+    rng = random.Random(3)
+    sample = list({"▁" + "".join(rng.choice(["th", "e", "ing", "ion", "a", "x", "é", "日"]) for _ in range(rng.randint(1, 5))) for _ in range(150)} | {"▁▁▁", "q", "͸"})
+    got = {r.word: r.ids for r in pieces.relational_lattice(spark.createDataFrame([(w,) for w in [*sample, sample[0], None, ""]], "word string"), MODEL).collect()}
+    want = dict(zip(sample, encode_all(sample, table), strict=True))
+    assert set(got) == set(sample) and got["͸"] is None
+    assert all(ids == want[w] for w, ids in got.items() if ids is not None) and sum(ids is None for ids in got.values()) <= 2
+
+
+def encode_all(sample, table):
+    return [np.frombuffer(x, np.int32).tolist() for x in pieces.encode_words(sample, table)]
