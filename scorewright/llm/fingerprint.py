@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .cluster import Scratch, partitions
+from .cluster import Scratch, lean, partitions
 
 SLOTS = 64
 WORDS = 5
@@ -116,6 +116,7 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     range's first document goes to the range before it as well.
     """
     spark = documents.sparkSession
+    lean(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(_LOW)))
     ids = docs.select("key")
     ranges = max(2, 2 * partitions(spark))

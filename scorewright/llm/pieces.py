@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import lean
+
 SPACE = "▁"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MEMO_WORDS, _MEMO_PAIRS = 400_000, 4_000_000
@@ -305,6 +307,7 @@ def encode_documents(documents: DataFrame, model_file: str) -> DataFrame:
                 rows = [np.frombuffer(x, np.int32) for x in encode(texts)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(texts)), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    lean(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -341,6 +344,7 @@ def round_trips(documents: DataFrame, model_file: str) -> DataFrame:
                     names=["doc_id", "n_pieces", "ids_crc32", "round_trip"],
                 )
 
+    lean(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
