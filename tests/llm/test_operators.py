@@ -190,6 +190,34 @@ def test_repeated_passages(spark, docs, none):
     assert passages.cut_passages(docs).columns == docs.columns
 
 
+def planted(spark, rows):
+    """The passages of `rows`: {doc_id: [(start_word, end_word, src_doc_id)]} in order."""
+    got = defaultdict(list)
+    for r in passages.repeated_passages(frame(spark, rows)).collect():
+        got[r.doc_id].append((r.start_word, r.end_word, r.src_doc_id))
+    return {i: sorted(x) for i, x in got.items()}
+
+
+def own(rng, n):
+    return prose(rng, n, 10**9)
+
+
+def covers(spans, low, high, src):
+    return any(s <= low + 1 and e >= high - 1 and of == src for s, e, of in spans)
+
+
+def test_passages_after_a_wide_gap(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(20):
+        p, q = own(rng, 60), own(rng, 60)
+        rows += [(2 * k, f"{own(rng, 9)} {p} {own(rng, 50)} {q}"), (2 * k + 1, f"{own(rng, 30)} {p} {own(rng, 50)} {q} {own(rng, 5)}")]
+    got = planted(spark, rows)
+    for k in range(20):
+        spans = got[2 * k + 1]
+        assert len(spans) == 2 and covers(spans, 30, 90, 2 * k) and covers(spans, 140, 200, 2 * k)
+
+
 # 4: fingerprints
 
 
