@@ -218,6 +218,14 @@ def test_passages_after_a_wide_gap(spark):
         assert len(spans) == 2 and covers(spans, 30, 90, 2 * k) and covers(spans, 140, 200, 2 * k)
 
 
+def test_lines_of_many_documents_are_no_passage(spark):
+    rng = random.Random(23)
+    lines = [own(rng, 12 + i) for i in range(8)]
+    rows = [(i, f"{own(rng, 30)} {line} {own(rng, 30)}") for i, line in enumerate(lines)]
+    rows.append((50, f"{own(rng, 20)} {' '.join(lines)} {own(rng, 20)}"))
+    assert planted(spark, rows) == {}
+
+
 # 4: fingerprints
 
 
