@@ -226,6 +226,39 @@ def test_lines_of_many_documents_are_no_passage(spark):
     assert planted(spark, rows) == {}
 
 
+def test_passages_beside_their_own_words(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(20):
+        p, q, chance = own(rng, 55), own(rng, 55), own(rng, 3)
+        rows += [(4 * k, f"{p} {own(rng, 34)} {q}"), (4 * k + 1, f"{p} {own(rng, 34)} {q}")]
+        lone = own(rng, 55)
+        rows += [(4 * k + 2, f"{lone} {own(rng, 24)} {chance} {own(rng, 30)}"), (4 * k + 3, f"{lone} {own(rng, 24)} {chance} {own(rng, 30)}")]
+    got = planted(spark, rows)
+    for k in range(20):
+        assert got[4 * k + 1] == [(0, 55, 4 * k), (89, 144, 4 * k)]
+        assert got[4 * k + 3] == [(0, 55, 4 * k + 2)]
+
+
+def test_parts_of_an_alignment_match_brute_force():
+    rng = random.Random(26)
+    for _ in range(200):
+        runs, i, j = [], 0, 0
+        for _ in range(rng.randint(1, 14)):
+            n = rng.randint(1, 25)
+            runs.append((i, j, n))
+            i, j = i + n + rng.randint(0, 12), j + n + rng.randint(1, 12)
+        wide = lambda k, m: max(runs[m - 1][x] + runs[m - 1][2] - runs[k][x] for x in (0, 1))
+        passing = {(k, m) for k in range(len(runs)) for m in range(k + 1, len(runs) + 1)
+                   if runs[m - 1][0] + runs[m - 1][2] - runs[k][0] >= 50 and sum(r[2] for r in runs[k:m]) >= 0.8 * wide(k, m) - 1e-9}
+        found = passages.passages(runs, 0.8, 50)
+        starts, ends = {r[0]: k for k, r in enumerate(runs)}, {r[0] + r[2]: k + 1 for k, r in enumerate(runs)}
+        got = [(starts[f[0]], ends[f[1]]) for f in found]
+        assert set(got) <= passing and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        # no passage lies beside the ones found
+        assert all(any(k < y and x < m for x, y in got) for k, m in passing)
+
+
 # 4: fingerprints
 
 
