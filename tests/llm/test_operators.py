@@ -259,6 +259,22 @@ def test_parts_of_an_alignment_match_brute_force():
         assert all(any(k < y and x < m for x, y in got) for k, m in passing)
 
 
+def test_passages_with_spread_edits(spark):
+    rng = random.Random(24)
+    rows, at = [], 0
+    for every in (12, 10, 8):
+        for _ in range(40):
+            p = own(rng, 60).split()
+            q = list(p)
+            for i in range(rng.randrange(every), 60, every):
+                q[i] = own(rng, 1)
+            rows += [(at, f"{own(rng, 40)} {' '.join(p)} {own(rng, 40)}"), (at + 1, f"{own(rng, 40)} {' '.join(q)} {own(rng, 40)}")]
+            at += 2
+    got = planted(spark, rows)
+    found = sum(any(e - s >= 50 and of == i - 1 for s, e, of in got.get(i, [])) for i in range(1, at, 2))
+    assert found == at // 2
+
+
 # 4: fingerprints
 
 
