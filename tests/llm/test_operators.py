@@ -275,6 +275,20 @@ def test_passages_with_spread_edits(spark):
     assert found == at // 2
 
 
+def test_passages_of_frequent_phrases(spark):
+    """Every run of six to 19 words of a passage is also in some earlier document that holds no more of it."""
+    rng = random.Random(25)
+    rows, pairs = [], []
+    for k in range(6):
+        p = own(rng, 60).split()
+        rows += [(100 * k + i, f"{own(rng, 30)} {' '.join(p[i : i + 19])} {own(rng, 30)}") for i in range(42)]
+        rows += [(100 * k + 80, f"{own(rng, 20)} {' '.join(p)} {own(rng, 20)}"), (100 * k + 81, f"{own(rng, 10)} {' '.join(p)} {own(rng, 20)}")]
+        pairs.append((100 * k + 80, 100 * k + 81))
+    got = planted(spark, rows)
+    assert set(got) == {c for _, c in pairs}
+    assert all(got[c] == [(10, 70, b)] for b, c in pairs)
+
+
 # 4: fingerprints
 
 
