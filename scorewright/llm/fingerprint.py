@@ -143,37 +143,35 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(documents: DataFrame, least: float = 0.75, bands: int = 16) -> DataFrame:
-    """(a, b, jaccard): representatives of unequal shingle sets that share a signature band and whose sets are at least so alike.
+def near_pairs(documents: DataFrame, least: float = 0.75) -> DataFrame:
+    """(a, b, jaccard), a < b: links between documents whose shingle sets are at least so alike, enough of them to join all that belong together.
 
-    Texts without words are linked with nothing; repeated texts and ids are represented by their smallest doc_id.
-    Each band links its members to its smallest id only, so the pairs grow with the documents, not
-    with the square of a group; a pair's similarity is checked on the whole sets.
+    Documents with equal sets are linked with the smallest doc_id among them (jaccard 1.0), and that one stands for them in other links.
+    Texts without words and rows without doc_id are linked with nothing; rows that repeat an id are documents with that id. Classes of equal
+    sets meet in the signature bands of neardup with one leader for each band, and those that a leader leaves in different components
+    are searched in blocks; so the pairs grow with the documents, not with the square of a group. Similarity is checked on the whole sets.
     """
-
-    def sketch(batches):
-        for b in batches:
-            sig = signatures(b.column("text"), bands * 4, WORDS)
-            body = [r.tobytes() for r in sig]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(body, pa.binary())], names=["doc_id", "sig"])
+    from .neardup import linked
 
     def verify(batches):
         for b in batches:
+            rows, near = [], []
             sets = [wordhash.shingle_sets(b.column(c), WORDS) for c in ("text_a", "text_b")]
-            near = [len(np.intersect1d(x, y, assume_unique=True)) / max(1, len(np.union1d(x, y))) for x, y in zip(*sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(near, pa.float64())], names=["a", "b", "jaccard"])
+            for i, (x, y, ka, kb) in enumerate(zip(*sets, b.column("key_a").to_pylist(), b.column("key_b").to_pylist(), strict=True)):
+                # another row of a repeated doc_id has another set
+                if all(hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in ((x, ka), (y, kb))):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    rows.append(i), near.append(both / (len(x) + len(y) - both))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(near, pa.float64())], names=["a", "b", "jaccard"])
 
     scratch = Scratch(documents.sparkSession)
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.where(F.col("text").rlike("[^ \\t-\\r]"))
-    sigs = scratch.table(docs.mapInArrow(sketch, "doc_id long, sig binary").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    keys = sigs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("sig", i * 16 + 1, F.lit(16)), i))).alias("band"))
-    first = keys.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(first, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    sketched, classes, texts, links = linked(scratch, documents, 100 * least, least - 0.25)
+    side = lambda x: texts.join(classes.select("node", "least"), "node").select(F.col("node").alias(f"node_{x}"), F.col("least").alias(x), F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"))
     found = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= least)
+        links.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).distinct().join(side("a"), "node_a").join(side("b"), "node_b")
+        .select("a", "b", "key_a", "key_b", "text_a", "text_b").mapInArrow(verify, "a long, b long, jaccard double")
     )
-    return scratch.finish(found)
+    equal = sketched.where("n > 0").join(classes.select("key", "least"), "key").select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    pairs = found.unionByName(equal).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    return scratch.finish(pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))

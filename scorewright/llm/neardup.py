@@ -165,21 +165,9 @@ def _compare(percent, least):
     return run
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): groups of documents linked by similar sets of 5-word shingles.
-
-    Two documents are linked if 100 * |intersection| >= percent * |union|, confirmed on the full sets. Words are runs of bytes other than
-    space and \\t..\\r, A-Z in lower case; fewer than five words make one shingle; null and empty texts have none and are linked
-    with nothing. component_id is the smallest doc_id reachable. A null doc_id is linked with nothing,
-    has a null component_id and is kept. Rows that repeat an id are documents with that id. Extra columns are ignored; no documents give no rows.
-
-    Documents with equal sets are one class, found by an aggregate. In each band the class with the most company leads, and only
-    pairs with a leader are candidates (as many as rows, whatever the group). They are estimated from the sketches by likelihood and
-    confirmed on whole texts. Links between two non-leaders matter only if they join different components. Those are searched in
-    blocks of at most about BLOCK classes a side, after leaving out classes that share too few shingles with any other to have a
-    link: exact for bands of any size, with no pairs inside a group that is already joined.
-    """
-    scratch = Scratch(documents.sparkSession)
+def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sketched, classes, texts, links): every document's sketch, the classes of equal sets, the texts of classes with company, and the links
+    (a, b) between classes that make the components, confirmed; see near_duplicates."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = scratch.table(docs.mapInArrow(_sketches, _SKETCH))
     classes = scratch.table(
@@ -237,7 +225,25 @@ def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5
     more = scratch.table(
         dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_compare(percent, likely), "a long, b long")
     )
-    links = links.unionByName(more)
+    return sketched, classes, texts, links.unionByName(more)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): groups of documents linked by similar sets of 5-word shingles.
+
+    Two documents are linked if 100 * |intersection| >= percent * |union|, confirmed on the full sets. Words are runs of bytes other than
+    space and \\t..\\r, A-Z in lower case; fewer than five words make one shingle; null and empty texts have none and are linked
+    with nothing. component_id is the smallest doc_id reachable. A null doc_id is linked with nothing,
+    has a null component_id and is kept. Rows that repeat an id are documents with that id. Extra columns are ignored; no documents give no rows.
+
+    Documents with equal sets are one class, found by an aggregate. In each band the class with the most company leads, and only
+    pairs with a leader are candidates (as many as rows, whatever the group). They are estimated from the sketches by likelihood and
+    confirmed on whole texts. Links between two non-leaders matter only if they join different components. Those are searched in
+    blocks of at most about BLOCK classes a side, after leaving out classes that share too few shingles with any other to have a
+    link: exact for bands of any size, with no pairs inside a group that is already joined.
+    """
+    scratch = Scratch(documents.sparkSession)
+    sketched, classes, _, links = linked(scratch, documents, percent, likely)
     joined = components(scratch, links).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
     of_class = scratch.table(classes.select("key", "node", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "least", "comp"))
     lowest = of_class.groupBy("comp").agg(F.min("least").alias("component"))

@@ -327,6 +327,37 @@ def test_signatures_estimate_and_pairs(spark, docs):
     assert pairs and all(r.jaccard >= 0.75 and r.a != r.b for r in pairs)
 
 
+def test_near_pairs_match_brute_force(spark):
+    rng = random.Random(27)
+    rows = [r for r in corpus() if r[0] is not None]
+    # two near copies in the bands of a frequent third text; long texts that differ in a word; equal ones
+    lead = prose(rng, 200, 10**6).split()
+    near = lead[:160] + prose(rng, 40, 10**6).split()
+    rows += [(100, " ".join(lead)), (101, " ".join(near)), (102, " ".join([*near[:-1], "end"])), (103, " ".join(near))]
+    wide = prose(rng, 1500, 10**6).split()
+    rows += [(110 + i, " ".join([*wide[:-1], f"end{i}"])) for i in range(6)]
+    texts, parent = defaultdict(list), {}
+    for i, t in rows:
+        texts[i].append(t)
+        parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def jaccard(x, y):
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(x), words(y)))
+        return len(x & y) / len(x | y)
+
+    for r in fingerprint.near_pairs(frame(spark, rows)).collect():
+        assert r.a < r.b and r.jaccard >= 0.75 and any(abs(jaccard(x, y) - r.jaccard) < 1e-9 for x in texts[r.a] for y in texts[r.b] if words(x) and words(y))
+        x, y = sorted((find(r.a), find(r.b)))
+        parent[y] = x
+    assert Counter(find(i) for i, _ in rows) == Counter({c: n for c, n in Counter(c for (_, _, c), m in brute_components(rows).items() for _ in range(m)).items()})
+    assert {i: find(i) for i in parent} == {i: c for i, _, c in brute_components(rows)}
+
+
 # 5: near-duplicates
 
 
