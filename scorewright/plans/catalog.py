@@ -147,9 +147,15 @@ def _inline(spark):
     return spark.createDataFrame(PAIRS, "pair_id long, original string, revised string")
 
 
+def _keyed(spark, sf_dir):
+    """The pairs with a key that also tells the texts of a repeated turn apart."""
+    key = F.struct("conv_id", "turn", F.md5("original").alias("o"), F.md5("revised").alias("r"))
+    return _pairs(spark, sf_dir).select(key.alias("pair"), "original", "revised")
+
+
 def entity_spans(spark, sf_dir):
-    found = _inline(spark).select("pair_id", F.explode(entities.entities(F.col("revised"))).alias("e"))
-    return found.select("pair_id", "e.text", "e.start", "e.end", "e.type")
+    found = _pairs(spark, sf_dir).select("conv_id", "turn", F.explode(entities.entities(F.col("revised"))).alias("e"))
+    return found.select("conv_id", "turn", "e.text", "e.start", "e.end", "e.type")
 
 
 GENERIC = {"SYMPTOM": ("the", "for"), "DISEASE": ("und", "der"), "DRUG": ("les", "que")}
@@ -161,19 +167,19 @@ def entity_counts(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    tokens = _inline(spark).select(F.explode(F.array("original", "revised")).alias("t")).select(F.explode(T.tokens(F.col("t"))).alias("token")).distinct()
+    tokens = _pairs(spark, sf_dir).select(F.explode(F.array("original", "revised")).alias("t")).select(F.explode(T.tokens(F.col("t"))).alias("token")).distinct()
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vector"))
     return tokens.withColumn("slot", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(100))).join(vectors, "slot").select("token", "vector")
 
 
 def entity_similarity(spark, sf_dir):
-    rows = _inline(spark).select("pair_id", entities.entities(F.col("original")).alias("entities_o"), entities.entities(F.col("revised")).alias("entities_r"))
-    return similarity.entity_similarity(rows, _vocabulary(spark, sf_dir)).select("pair_id", F.round("r_e", 6).alias("r_e"))
+    rows = _keyed(spark, sf_dir).select("pair", entities.entities(F.col("original")).alias("entities_o"), entities.entities(F.col("revised")).alias("entities_r"))
+    return similarity.entity_similarity(rows, _vocabulary(spark, sf_dir), "pair").select("pair.conv_id", "pair.turn", F.round("r_e", 6).alias("r_e"))
 
 
 def advanced_reward(spark, sf_dir):
-    out = rewards.advanced_reward(_inline(spark), _vocabulary(spark, sf_dir))
-    return out.select("pair_id", *[F.round(c, 6).alias(c) for c in ("r_e", "r_t", "reward")])
+    out = rewards.advanced_reward(_keyed(spark, sf_dir), _vocabulary(spark, sf_dir), "pair")
+    return out.select("pair.conv_id", "pair.turn", *[F.round(c, 6).alias(c) for c in ("r_e", "r_t", "reward")])
 
 
 def cosine_pairs(spark, sf_dir):

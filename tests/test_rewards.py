@@ -85,3 +85,21 @@ def test_accuracy_and_completions(spark):
     assert [r.reward for r in scored.collect()] == [0.5, 1.0]
     with pytest.raises(AssertionError):
         rewards.select_reward("other")
+
+
+def test_queries_score_the_conversations(spark, tmp_path):
+    from scorewright.plans import catalog
+
+    turns = [row for i, (_, o, r) in enumerate(catalog.PAIRS) for row in ((i, 0, "user", o), (i, 1, "assistant", r))]
+    turns += [(50, 0, "user", "10mg aspirin"), (50, 1, "assistant", "10mg aspirin daily"), (50, 1, "assistant", "no drug")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    vectors = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(100)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = sorted([*((i, 0) for i in range(len(catalog.PAIRS))), (50, 0), (50, 0)])
+    advanced = catalog.advanced_reward(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn) for r in advanced) == want
+    assert sorted((r.conv_id, r.turn) for r in catalog.entity_similarity(spark, str(tmp_path)).collect()) == want
+    inline = {r.pair_id: r for r in rewards.advanced_reward(catalog._inline(spark), catalog._vocabulary(spark, str(tmp_path))).collect()}
+    got = {r.conv_id: r for r in advanced}
+    assert all(got[i].reward == pytest.approx(inline[p].reward, abs=1e-6) for i, (p, _, _) in enumerate(catalog.PAIRS))
+    assert {r.conv_id for r in catalog.entity_spans(spark, str(tmp_path)).collect()} <= {c for c, _ in want}
