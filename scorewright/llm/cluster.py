@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,25 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
+#: The shuffle files of a table that is written are of no more use.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with these values, and as they were before on the way out."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def lean(spark: SparkSession) -> None:
-    """Keeps the batches of texts that this session hands to Python small."""
+    """Keeps the batches of texts that this session hands to Python small; for good, since the result may run at any later time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -23,9 +42,9 @@ def lean(spark: SparkSession) -> None:
 class Scratch:
     """Tables written to the folder all executors share; they survive lost executors and cut lineage.
 
-    The folder is `spark.checkpoint.dir` (or the context's checkpoint folder); only where neither is
-    set, as in local tests, a temporary folder is made and set. `finish(df)` writes the result and
-    removes the other tables.
+    The folder is `spark.checkpoint.dir` (or the context's checkpoint folder); only where neither is set and the master is local, as in
+    tests, a temporary folder is made and set; on a cluster that is an error, for executors would each write to their own disk.
+    `finish(df)` writes the result and removes the other tables; so does `table(df)` where it fails, with all tables.
     """
 
     def __init__(self, spark: SparkSession):
@@ -34,6 +53,8 @@ class Scratch:
         context = spark.sparkContext
         root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not root:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
             root = context.getCheckpointDir()
         self.root = f"{root.rstrip('/')}/scorewright-{uuid.uuid4().hex}"
@@ -41,7 +62,12 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.made)}"
         self.made.append(path)
-        df.write.parquet(path)
+        try:
+            with settings(self.spark, _WRITING):
+                df.write.parquet(path)
+        except Exception:
+            self.drop()
+            raise
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, keep: int | None = None) -> None:
