@@ -65,6 +65,15 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def utf8_bytes(column) -> np.ndarray:
+    """All bytes of a binary or string column, one value after another."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.uint8)
+    ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Ranges of documents of at most `limit` bytes; a longer document is a range of its own."""
     lo, n = 0, len(offsets) - 1

@@ -419,32 +419,52 @@ def test_sketches():
 # 6: pieces
 
 
+def odd_texts(n):
+    rng = random.Random(9)
+    parts = ["the ", "ing", "\n", "é", "日", "日本語", "😀", "<s>", "  ", "a", "tion", "0", "\t", "ー", "▁", "can't ", "(x)", "http://", "\u0378", ".\n", "ß", " of", "Zq"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    table = pieces.piece_table(MODEL)
-    encode = pieces.Encoder(table)
-    rng = random.Random(9)
-    texts = [t or "" for _, t in corpus()] + ["".join(rng.choice(["the ", "ing", "\n", "é", "日", "😀", "<s>", "  ", "a", "tion", "0", "\t", "ー"]) for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    for t, ids in zip(texts, encode(texts), strict=True):
-        ids = np.frombuffer(ids, np.int32)
-        assert ids.tolist() == own.encode(t)
-        assert pieces.decode(ids, table) == t
-    got = {r.doc_id: r for r in pieces.round_trips(docs, MODEL).collect()}
-    assert all(r.round_trip for r in got.values()) and got[1].n_pieces == 0 and got[0].n_pieces == 0
-    encoded = pieces.encode_documents(docs, MODEL)
-    decoded = {r.doc_id: r.text for r in pieces.decode_documents(encoded, MODEL).collect()}
+    texts = {i: t or "" for i, t in corpus()} | {1000 + i: t for i, t in enumerate(odd_texts(3000))} | {5000: "ab" * 300_000, 5001: "日本" * 3000 + "x" * 90, 5002: "the cat. " * 300_000}
+    df = frame(spark, [*texts.items(), (1001, texts[1001]), (7000, None)])
+    want = {i: own.encode(t) for i, t in texts.items()}
+    # all words known to every task; most of them joined to their blocks; all joined, and none but short ones in the lattice
+    for most, wide in ((pieces.KNOWN_WORDS, pieces.WIDE), (30, pieces.WIDE), (0, 9)):
+        got = {r.doc_id: r.ids for r in pieces.encode_documents(df, MODEL, most, wide).collect()}
+        assert got.pop(7000) == [] and got == want
+    got = {r.doc_id: r for r in pieces.round_trips(df, MODEL).collect()}
+    for i, t in texts.items():
+        assert got[i].n_pieces == len(want[i]) and got[i].ids_crc32 == zlib.crc32(np.array(want[i], "<i4").tobytes())
+        assert got[i].round_trip == ("▁" not in t)
+    assert pieces.round_trips(df, MODEL).count() == len(texts) + 2
+    assert pieces.round_trips(none, MODEL).count() == 0 and pieces.encode_documents(none, MODEL).count() == 0
+    decoded = {r.doc_id: r.text for r in pieces.decode_documents(pieces.encode_documents(docs, MODEL), MODEL).collect()}
     assert decoded == {i: t or "" for i, t in corpus()}
-    assert pieces.round_trips(none, MODEL).count() == 0
 
 
-def test_lattice_has_every_piece():
+def test_relational_lattice(spark):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     table = pieces.piece_table(MODEL)
-    sample = ["▁these", "日本語", "▁▁", "q"]
-    own, start, end, ids = pieces.lattice(sample, table)
-    want = {(w, i, j, table.ids[s[i:j]]) for w, s in enumerate(sample) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j] in table.ids}
-    assert set(zip(own.tolist(), start.tolist(), end.tolist(), ids.tolist(), strict=True)) == want
+    rng = random.Random(3)
+    sample = list({" " + "".join(rng.choice(["th", "e", "ing", "ion", "a", "x", "é", "日", "\u0378", "😀"]) for _ in range(rng.randint(1, 9))) for _ in range(400)} | {"   ", " q", " \u0378", " " + "a" * 60})
+    got = {r.word: r.ids for r in pieces.relational_lattice(spark.createDataFrame([(w, 1) for w in sample], "word string, n long"), MODEL).collect()}
+    assert got == {w: own.encode(w[1:].replace(" ", "▁")) for w in sample} == {w: table.encode_word(w) for w in sample}
+
+
+def test_words_of_pieces_are_the_text():
+    table = pieces.piece_table(MODEL)
+    texts = [None, "", "a", *odd_texts(200)]
+    data, starts, offsets = table.words(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert data[offsets[i] : offsets[i + 1]].tobytes().decode() == (" " + t.replace("▁", " ") if t else "")
+        inside = starts[(starts >= offsets[i]) & (starts < offsets[i + 1])]
+        assert not t or inside[0] == offsets[i]
 
 
 # 7: toxicity
@@ -579,17 +599,3 @@ def test_mixture_shares():
     best, share = language.mixtures(codes, np.array([0, 1000]), table, rounds=100)
     assert best[0] == 0 and abs(share[0] - 0.7) < 0.06
     assert language.mixtures(codes[:0], np.array([0, 0]), table)[0][0] == -1
-
-
-def test_relational_lattice(spark):
-    table = pieces.piece_table(MODEL)
-    rng = random.Random(3)
-    sample = list({"▁" + "".join(rng.choice(["th", "e", "ing", "ion", "a", "x", "é", "日"]) for _ in range(rng.randint(1, 5))) for _ in range(150)} | {"▁▁▁", "q", "͸"})
-    got = {r.word: r.ids for r in pieces.relational_lattice(spark.createDataFrame([(w,) for w in [*sample, sample[0], None, ""]], "word string"), MODEL).collect()}
-    want = dict(zip(sample, encode_all(sample, table), strict=True))
-    assert set(got) == set(sample) and got["͸"] is None
-    assert all(ids == want[w] for w, ids in got.items() if ids is not None) and sum(ids is None for ids in got.values()) <= 2
-
-
-def encode_all(sample, table):
-    return [np.frombuffer(x, np.int32).tolist() for x in pieces.encode_words(sample, table)]
