@@ -45,6 +45,8 @@ def propagate(scratch: Scratch, edges: DataFrame, shards: int, most: float, roun
             turn &= F.pmod(F.xxhash64(F.col("node"), F.lit(step)), F.lit(2)) == 0
         asked = scratch.table(own.select("node", "inner", "label", F.when(turn, -F.col("best.low")).otherwise(F.col("label")).alias("to")))
         flows = {(r.label, r.to): r["count"] for r in asked.where("label <> to").groupBy("label", "to").count().collect()}
+        if not flows and step > 3:
+            break  # no node of either half, of either kind, asked for another shard
         if flows:
             quota = _quotas(flows, counts, most)
             shares = F.create_map(*[F.lit(x) for (a, b), q in sorted(quota.items()) for x in (a * shards + b, int(q * _UNIT))])
@@ -57,9 +59,11 @@ def propagate(scratch: Scratch, edges: DataFrame, shards: int, most: float, roun
 def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """A row for each document with its shard and its slot there, by the law `rows`: counts at most one apart.
 
-    Documents of equal text are linked (null counts as empty) through the first of them. A group larger than half a shard is
-    linked in parts of about that size, since it can't stay whole. After the propagation, shards with too many documents give away
-    the surplus, documents without a link first, to those with too few, which makes the counts exact. Each
+    Documents of equal text are linked (null counts as empty) through the first of them. A group larger than a shard is
+    linked in parts of about that size, since it can't stay whole. After the propagation, a group goes where most of its documents are.
+    Shards with too many documents then give away the surplus to those with too few, which makes the counts exact: documents without a
+    link first, then whole groups, the smaller ones first. Only where a surplus or a gap ends inside a group is that one cut, so twice as many
+    groups as shards at most. Each
     row is placed once, repeated ids and rows too; a null doc_id stays null; other columns are ignored; no documents give no rows.
     size is the text's UTF-8 bytes (none for null) plus 1, slots count from 0 in each shard, grown_shard is null under this law.
     """
@@ -73,23 +77,29 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 6) -> D
         )
     )
     n = nodes.count()
-    part = max(2, n // shards // 2)
-    groups = nodes.groupBy("same").agg(F.count("*").alias("members"), F.min("node").alias("whole_hub")).where("members > 1")
+    part = max(2, n // shards)
+    # written, so that the joins with a very large group's rows have two plain sides, which adaptive execution splits
+    groups = scratch.table(nodes.groupBy("same").agg(F.count("*").alias("members"), F.min("node").alias("whole_hub")).where("members > 1"))
     linked = scratch.table(
         nodes.select("node", "same").join(groups, "same")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / part)))
         .select("node", "same", "part", "whole_hub")
     )
-    hubs = linked.groupBy("same", "part").agg(F.min("node").alias("hub"), F.min("whole_hub").alias("whole_hub"))
-    spokes = linked.join(hubs.select("same", "part", "hub"), ["same", "part"]).select("node", F.col("hub").alias("other"))
+    hubs = scratch.table(linked.groupBy("same", "part").agg(F.min("node").alias("hub"), F.min("whole_hub").alias("whole_hub")))
+    spokes = scratch.table(linked.join(hubs.select("same", "part", "hub"), ["same", "part"]).select("node", F.col("hub").alias("other")))
     pairs = spokes.unionByName(hubs.select(F.col("hub").alias("node"), F.col("whole_hub").alias("other"))).where("node <> other")
     edges = scratch.table(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = propagate(scratch, edges, shards, n / shards, rounds)
-    placed = nodes.join(labels, "node", "left").select(
-        "doc_id", "size", "text_crc32", "node", F.col("label").isNotNull().alias("tied"),
-        F.coalesce("label", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).alias("label"),
+    tied = spokes.withColumnRenamed("other", "hub")
+    votes = scratch.table(tied.join(labels, "node").groupBy("hub", "label").agg(F.count("*").alias("n")))
+    # a group whose hub stands alone, as a part of one document, has no label yet
+    homes = scratch.table(votes.groupBy("hub").agg(F.sum("n").alias("members"), F.max_by("label", F.struct("n", -F.col("label"))).alias("label")))
+    grouped = scratch.table(tied.join(homes, "hub"))
+    start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
+    placed = nodes.join(grouped.select("node", "hub", "members", "label"), "node", "left").select(
+        "doc_id", "size", "text_crc32", "node", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("hub", "node").alias("hub"), F.coalesce("label", start).alias("label")
     )
-    numbered, sizes = ranked(scratch, placed, "label", ["tied", "node"])
+    numbered, sizes = ranked(scratch, placed, "label", ["members", "hub", "node"])
     want = [n // shards + (s < n % shards) for s in range(shards)]
     over = [max(0, sizes.get(s, 0) - want[s]) for s in range(shards)]
     lack = [max(0, want[s] - sizes.get(s, 0)) for s in range(shards)]
