@@ -41,23 +41,29 @@ def grams(data: np.ndarray, offsets: np.ndarray):
     return (left[at] * KINDS + kind[at]) * KINDS + right[at], np.searchsorted(at, offsets)
 
 
-def _mixture(like, weight, first, size, allowed, rounds: int):
-    """(shares, log likelihoods) of each document's mixture of its allowed languages; its grams start at `first` and have weights."""
+def _mixture(like, weight, first, size, allowed, rounds: int, close: float):
+    """(shares, log likelihoods) of each document's mixture of its allowed languages; its grams start at `first` and have weights.
+
+    Rounds go on until no share of any document changes by more than `close`, `rounds` at most.
+    """
     share = allowed / allowed.sum(1, keepdims=True)
     n = np.diff(np.append(first, len(like)))
     for _ in range(rounds):
         part = like * np.repeat(share, n, axis=0)
         part *= (weight / part.sum(1))[:, None]
-        share = np.add.reduceat(part, first, axis=0) / size[:, None]
+        before, share = share, np.add.reduceat(part, first, axis=0) / size[:, None]
+        if np.abs(share - before).max() <= close:
+            break
     return share, np.add.reduceat(np.log((like * np.repeat(share, n, axis=0)).sum(1)) * weight, first)
 
 
-def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least_share: float = 0.02):
+def mixtures(codes, bounds, table, rounds: int = 30, close: float = 0.005, penalty: float = 3.0):
     """(best language, its share) for each document; -1 where a document has no gram.
 
-    `table` has log p(gram | language) by gram and language. The mixture of all languages ranks them;
-    then sets of the first 1, 2 and 3 are fitted, and the set with the largest log likelihood less
-    penalty * (languages - 1) * log(grams) is taken. Languages under `least_share` of the full mixture join no set.
+    `table` has log p(gram | language) by gram and language. The mixture of all languages ranks them; sets of the first 1, 2, 3 and so
+    on are fitted for as long as that raises the log likelihood less penalty * (languages - 1) * log(grams). The language with the
+    largest share in the last set that did, and this share, are taken (ties to the first). Expectation-maximisation ends where no share
+    changes by more than `close`, or after `rounds` rounds.
     """
     n, langs = len(bounds) - 1, table.shape[1]
     best, sure = np.full(n, -1), np.zeros(n)
@@ -77,14 +83,14 @@ def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least
     constant = np.add.reduceat(top * weight, first)
     alone = np.add.reduceat((logs - top[:, None]) * weight[:, None], first, axis=0) + constant[:, None]
     like = np.exp(logs - top[:, None])
-    full, _ = _mixture(like, weight, first, size, np.ones((len(live), langs)), rounds)
+    full, _ = _mixture(like, weight, first, size, np.ones((len(live), langs)), rounds, close)
     order = np.argsort(-full, axis=1, kind="stable")
     pick = alone.argmax(1)
-    value = alone[np.arange(len(live)), pick]
-    for k in (2, 3):
-        if k > langs:
-            break
-        some = np.flatnonzero(full[np.arange(len(live)), order[:, k - 1]] >= least_share)
+    value, mine = alone[np.arange(len(live)), pick], np.ones(len(live))
+    some = np.arange(len(live))
+    for k in range(2, langs + 1):
+        # a language without a share in the mixture of all can't pay for its penalty
+        some = some[full[some, order[some, k - 1]] > 0]
         if not len(some):
             break
         allowed = np.zeros((len(some), langs))
@@ -93,13 +99,15 @@ def mixtures(codes, bounds, table, rounds: int = 12, penalty: float = 3.0, least
         chosen[some] = True
         rows = np.repeat(chosen, many)
         starts = np.concatenate([[0], np.cumsum(many[some])[:-1]])
-        share, total = _mixture(like[rows], weight[rows], starts, size[some], allowed, rounds)
+        share, total = _mixture(like[rows], weight[rows], starts, size[some], allowed, rounds, close)
         worth = total + constant[some] - penalty * (k - 1) * np.log(size[some] + 1)
         better = worth > value[some]
-        value[some[better]] = worth[better]
-        pick[some[better]] = share[better].argmax(1)
+        share, some = share[better], some[better]
+        value[some] = worth[better]
+        pick[some] = share.argmax(1)
+        mine[some] = share.max(1)
     best[live] = pick
-    sure[live] = full[np.arange(len(live)), pick]
+    sure[live] = mine
     return best, sure
 
 
@@ -163,8 +171,8 @@ def identify_language(documents: DataFrame, **settings) -> DataFrame:
 
     The n-gram models are counted from about `sample` documents at most (chosen by a hash of doc_id) with a lang, a text, and a
     crc32(doc_id as text) mod 4 that isn't 2; a null doc_id is held out = false and teaches nothing. Predictions read the whole
-    text alone. lang_pred is the language with the largest share in the chosen set (ties to the first by name) and score its share in the
-    mixture of all languages. `und` with score 0.0 if the text is null or has no letter, or if no language could be learnt.
+    text alone. lang_pred is the language with the largest share in the document's mixture of the set of languages that penalised likelihood
+    selects (see mixtures; ties to the first by name), and score this share: 1.0 if one language explains the text best. `und` with score 0.0 if the text is null or has no letter, or if no language could be learnt.
     Repeated rows are predicted alike, extra columns are ignored, no documents give no rows.
     The counts that reach the driver are bounded by the languages and the kinds of grams.
     """
@@ -184,7 +192,11 @@ def identify_language(documents: DataFrame, **settings) -> DataFrame:
 
 
 def keep_languages(documents: DataFrame, least_share: float = 0.4, **settings) -> DataFrame:
-    """The rows of `documents`, all their columns unchanged, whose text has a letter and a language with `least_share` of its mixture or more."""
+    """The rows of `documents`, all their columns unchanged, whose text has a letter and a language with `least_share` of its mixture or more.
+
+    Rows with a null or empty text or one without a letter go, and so do all rows where no language could be learnt; repeated rows stay or go alike,
+    a null doc_id is no reason to go, and no documents give no rows.
+    """
     learnt = learn_languages(documents, **settings)
 
     def run(batches):
