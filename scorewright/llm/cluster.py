@@ -115,16 +115,16 @@ def ranked(scratch: Scratch, df: DataFrame, group: str, order: list[str], rank:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id that each id in `edges` (a, b) reaches.
 
-    Alternating large and small stars; every step is an aggregate that combines before its
-    shuffle and a join whose large keys adaptive execution splits, so hubs need no single task.
+    Alternating large and small stars. Every step is an aggregate that combines before its shuffle, and a join of written tables: both
+    sides are plain shuffles, so adaptive execution splits the rows of a hub over several tasks.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = scratch.table(both), None
     while True:
         two = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = two.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = two.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch.table(two.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = scratch.table(two.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("x"), F.col("m"), "a")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         now = scratch.table(small.where("a <> b").distinct())
