@@ -101,24 +101,24 @@ def test_ranks_and_components(spark):
 def test_top_k(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.25, 0.5, 1.01]) for _ in range(4)], 1) for i in range(150)]
-    rows += [(200, None, 1), (201, [1.0, None, 0.0, 0.0], 1), (202, [float("nan")] * 4, 1), (203, [float("inf")] * 4, 1), (None, [1.0] * 4, 1), (40, rows[40][1], 1), (204, [], 1), (205, [1.0], 1)]
+    rows += [(200, None, 1), (201, [1.0, None, 0.0, 0.0], 1), (202, [float("nan")] * 4, 1), (203, [float("inf")] * 4, 1), (None, [1.0] * 4, 1), (204, [], 1), (205, [1.0], 1)]
+    # ids that repeat: equal rows, other vectors, and a vector of many rows
+    rows += [(40, rows[40][1], 1), (40, [3.0] * 4, 1), (7, [2.0] * 4, 1), (60, rows[60][1], 1), (60, rows[60][1], 1), *[(300, [1.01] * 4, 1)] * 12]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(4)
-    real = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v, _ in rows if i is not None and i not in (200, 201, 202, 203)}
-    want = {}
-    for q in real:
+    real = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and i not in (200, 201, 202, 203)]
+    want = []
+    for at, (q, own) in enumerate(real):
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(real[q], v, strict=False)), i) for i, v in real.items() if i != q)
-            want[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(scored[:7])]
+            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for k, (i, v) in enumerate(real) if k != at)
+            want.append((q, [(r + 1, i, -s) for r, (s, i) in enumerate(scored[:7])]))
     for tile, fan_in in ((4096, 16), (9, 2)):
-        got = defaultdict(list)
-        for r in topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 7, tile, fan_in).orderBy("query_id", "rank").collect():
-            got[r.query_id].append((r["rank"], r.vec_id, r.score))
-        assert got == want
+        got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 7, tile, fan_in).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted((q, *hit) for q, hits in want for hit in hits)
     assert topk.exact_top_k(df.where("false"), df.where("false"), 7).count() == 0
     assert topk.exact_top_k(df.where("vec_id < 2"), df.where("vec_id = 0"), 7).count() == 1
-    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [2.0, 2.0]), (0, [1e30, 1.0])], "vec_id long, embedding array<double>")
     got = topk.exact_top_k(huge, huge.where("vec_id = 0"), 2).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1)]
+    assert [(r.vec_id, r.score) for r in got] == [(0, 2**63 - 1)] * 2 + [(1, 2**63 - 1)] * 2
 
 
 # 2: sharding
@@ -137,6 +137,15 @@ def test_sharding(spark, docs, none):
     got = sharding.shard_documents(docs).collect()
     texts = {i: t or "" for i, t in corpus()}
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.law == "rows" and r.grown_shard is None for r in got)
+    # a group that fits a shard stays whole, whatever the others are like
+    for rest in (lambda i: f"own {i}", lambda i: f"pair {i // 2}"):
+        whole = sharding.shard_documents(frame(spark, [(i, "copy" if i < 100 else rest(i)) for i in range(1200)])).collect()
+        counts = Counter(r.shard for r in whole)
+        assert len({r.shard for r in whole if r.doc_id < 100}) == 1 and max(counts.values()) - min(counts.values()) <= 1
+        places = defaultdict(set)
+        for r in whole:
+            places[r.text_crc32].add(r.shard)
+        assert sum(len(p) > 1 for p in places.values()) <= 16
     pairs = [(i, f"text {i // 2}") for i in range(400)]
     placed = {r.doc_id: r.shard for r in sharding.shard_documents(frame(spark, pairs)).collect()}
     cut = sum(placed[i] != placed[i + 1] for i in range(0, 400, 2))
@@ -596,6 +605,43 @@ def test_mixture_shares():
     rng = np.random.default_rng(0)
     table = np.log(np.array([[0.9, 0.1], [0.1, 0.9]]))
     codes = np.concatenate([rng.choice(2, 700, p=[0.9, 0.1]), rng.choice(2, 300, p=[0.1, 0.9])])
-    best, share = language.mixtures(codes, np.array([0, 1000]), table, rounds=100)
+    best, share = language.mixtures(codes, np.array([0, 1000]), table, rounds=200, close=1e-6)
     assert best[0] == 0 and abs(share[0] - 0.7) < 0.06
     assert language.mixtures(codes[:0], np.array([0, 0]), table)[0][0] == -1
+
+
+def test_mixtures_match_brute_force():
+    """Each document by itself, gram by gram, with the sets of the best languages in the order of the full mixture."""
+    rng = np.random.default_rng(4)
+    table = np.log(rng.dirichlet([0.4] * 30, 5).T)
+
+    def fitted(codes, langs):
+        share = np.full(len(langs), 1 / len(langs))
+        for _ in range(60):
+            part = np.exp(table[codes][:, langs]) * share
+            before, share = share, (part / part.sum(1, keepdims=True)).mean(0)
+            if np.abs(share - before).max() <= 1e-9:
+                break
+        return share, np.log((np.exp(table[codes][:, langs]) * share).sum(1)).sum()
+
+    docs = []
+    for k in (1, 2, 3, 4, 5, 5, 1, 2):
+        own = rng.choice(5, k, replace=False)
+        docs.append(np.concatenate([rng.choice(30, 400 // k, p=np.exp(table[:, i])) for i in own]))
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    best, share = language.mixtures(np.concatenate(docs), bounds, table, rounds=60, close=1e-9)
+    sizes = []
+    for d, b, s in zip(docs, best, share, strict=True):
+        order = np.argsort(-fitted(d, [0, 1, 2, 3, 4])[0], kind="stable")
+        first = max(range(5), key=lambda i: table[d][:, i].sum())
+        held = (table[d][:, first].sum(), first, 1.0, 1)
+        for k in range(2, 6):
+            shares, value = fitted(d, order[:k].tolist())
+            value -= 3.0 * (k - 1) * np.log(len(d) + 1)
+            if value <= held[0]:
+                break
+            # among equal places the languages stand in the order of the table
+            held = (value, order[:k][shares.argmax()], shares.max(), k)
+        assert b == held[1] and abs(s - held[2]) < 1e-6
+        sizes.append(held[3])
+    assert {1, 2, 3} <= set(sizes)
