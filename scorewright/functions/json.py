@@ -25,6 +25,16 @@ def _parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "kind", "canon"])
 
 
+@F.pandas_udf(TY.StringType())
+def _shown(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else str(json.loads(t)) for t in texts])
+
+
+def shown(text: Column) -> Column:
+    """A JSON value as Python's str() shows it: True, None, ['a', 1.5]."""
+    return _shown(text)
+
+
 def parse(text: Column) -> Column:
     """(ok, kind, canon): whether the text is JSON by Python's rules, the kind of value, and the value written anew (last of duplicate keys)."""
     return _parse(text)
@@ -40,16 +50,22 @@ def field(canon: Column, key: str) -> Column:
     )
 
 
+# The three patterns of the salvage.
+_BRACES = r"(?s)\{.*\}"
+_FENCE = r"(?m)(?d)^```json[\s\x1c-\x1f\x{85}\x{a0}]*|[\s\x1c-\x1f\x{85}\x{a0}]*```$"
+_SHALLOW = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+
+
 def braces(text: Column) -> Column:
     """From the first { to the last }, across lines; null without both."""
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, _BRACES, 0), F.lit(""))
 
 
 def unfenced(text: Column) -> Column:
     """Without ```json at a line's start and ``` at a line's end."""
-    return F.regexp_replace(text, r"(?m)(?d)^```json[\s\x1c-\x1f\x{85}\x{a0}]*|[\s\x1c-\x1f\x{85}\x{a0}]*```$", "")
+    return F.regexp_replace(text, _FENCE, "")
 
 
 def shallow_braces(text: Column) -> Column:
     """The first {...} with at most one level of braces inside."""
-    return F.nullif(F.regexp_extract(text, r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, _SHALLOW, 0), F.lit(""))

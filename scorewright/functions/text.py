@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # The 29 code points that Python's str.strip() removes.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_WHITE_CLASS = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
-#: Words of letters and digits, and every other sign by itself: stands in for a model's tokenizer.
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
+_WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WHITE_CLASS = f"[{_WHITE}]"
+_IN_WORD = r"\p{L}\p{M}\p{N}_"
+#: Words, and every other sign but white space by itself: stands in for a model's tokenizer.
+TOKEN = f"[{_IN_WORD}]+|[^{_IN_WORD}{_WHITE}]"
 
 
 def strip(text: Column) -> Column:

@@ -66,9 +66,22 @@ def or_default(df: DataFrame, default: DataFrame) -> DataFrame:
     return default.select(*df.columns) if df.isEmpty() else df
 
 
+def encoded(texts: DataFrame, vocabulary: DataFrame, most: int = 2048, unknown: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, input_ids, attention_mask): the ids of the first `most` tokens by (token, id), and as many ones."""
+    ids = vocabulary_ids(tokenized(texts, most, text), vocabulary, unknown, key=key)
+    return ids.withColumn("attention_mask", F.transform("input_ids", lambda i: F.lit(1)))
+
+
 def vocabulary_ids(tokens: DataFrame, vocabulary: DataFrame, unknown: int = 0, column: str = "input_tokens", key: str = "doc_id") -> DataFrame:
-    """(key, input_ids) by a join with (token, id); tokens that aren't in the vocabulary take `unknown`."""
-    at = tokens.select(key, F.posexplode_outer(column).alias("pos", "token"))
-    ids = at.join(vocabulary.select("token", "id"), "token", "left").withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(unknown))))
-    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda s: s["id"])
-    return ids.groupBy(key).agg(listed.cast(TY.ArrayType(TY.LongType())).alias("input_ids"))
+    """(key, input_ids) by a join with (token, id); tokens that aren't in the vocabulary take `unknown`, null lists have no ids.
+
+    Equal lists of tokens are looked up once. Every row has its own result, those that repeat a key too.
+    """
+    own = tokens.select(key, F.coalesce(F.col(column), F.array().cast("array<string>")).alias("_tokens"))
+    own = own.withColumn("_list", F.md5(F.concat_ws("\n", "_tokens")))
+    at = own.dropDuplicates(["_list"]).select("_list", F.posexplode("_tokens").alias("pos", "token"))
+    ids = at.join(vocabulary.select("token", "id"), "token", "left")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).cast("long").alias("id")))), lambda s: s["id"])
+    found = ids.groupBy("_list").agg(listed.alias("input_ids"))
+    none = F.array().cast(TY.ArrayType(TY.LongType()))
+    return own.select(key, "_list").join(found, "_list", "left").select(key, F.coalesce("input_ids", none).alias("input_ids"))

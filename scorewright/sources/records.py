@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,13 @@ from scorewright.functions import text as T
 
 # The keys of a text, in the order they are tried.
 TEXT_KEYS = ("text", "input", "prompt", "question", "original")
+# The messages of the record that stands for a file without any.
+DEFAULT_RECORD = (
+    ("user", "请根据病历生成一道医学选择题。"),
+    ("assistant", "冠状动脉粥样硬化要紧侵犯以下分支( )\nA. 回旋支、左室支\nB. 前距离支、边缘支\nC. 前降支、左旋支\nD. 房室结支、心室支\n\n**答案：C**"),
+)
+#: A file of no more bytes may be salvaged as one object, in one task.
+WHOLE_BYTES = 64 << 20
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -24,8 +33,19 @@ def _required(spark: SparkSession, path: str) -> None:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, line) in file order."""
-    return spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda p: (p[1], p[0])).toDF("idx long, line string")
+    """(idx, line) with the place of each line in its file; files of a folder follow each other by name.
+
+    Nothing is shuffled: lines are numbered where they are read, and the driver has one count for each split of a file.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+    placed = read.withColumn("_at", F.monotonically_increasing_id())
+    splits = sorted(placed.groupBy("_file", "_from").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect())
+    before, seen = [], 0
+    for r in splits:
+        before.append((r["_file"], r["_from"], seen - r["first"]))
+        seen += r["n"]
+    shift = F.broadcast(spark.createDataFrame(before, "_file string, _from long, _shift long"))
+    return placed.join(shift, ["_file", "_from"]).select((F.col("_at") + F.col("_shift")).alias("idx"), F.col("value").alias("line"))
 
 
 def first_text(parsed: DataFrame) -> DataFrame:
@@ -73,23 +93,37 @@ def salvaged(rows: DataFrame) -> DataFrame:
     )
     # the whole file is looked at only where line 0 has something and gave nothing, as small files with one spread-out object do
     if not picked.where("idx = 0 and record is null").isEmpty():
+        size = rows.agg(F.sum(F.octet_length("line") + 2)).first()[0]
+        if size > WHOLE_BYTES:
+            raise ValueError(f"line 0 is no record, and {size} bytes are too many for one object (at most {WHOLE_BYTES})")
         whole = rows.agg(F.concat_ws("\n ", F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda r: r["line"])).alias("all"))
         found = whole.select(J.parse(J.shallow_braces(F.col("all"))).alias("p")).where("p.ok")
         picked = picked.where("record is not null").unionByName(found.select(F.lit(0).cast("long").alias("idx"), F.col("p.canon").alias("record"), F.lit("file").alias("how")))
     return picked.where("record is not null")
 
 
+def default_record(spark: SparkSession) -> DataFrame:
+    """(idx, record, how) of the one row that stands for a file without any record."""
+    messages = {"messages": [{"role": role, "content": content} for role, content in DEFAULT_RECORD]}
+    return spark.createDataFrame([(0, json.dumps(messages, ensure_ascii=False), "default")], "idx long, record string, how string")
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """salvaged lines of a file that must exist."""
+    """salvaged lines of a file that must exist; the default record if there are none."""
     _required(spark, path)
-    return salvaged(lines(spark, path))
+    found = salvaged(lines(spark, path))
+    return default_record(spark) if found.isEmpty() else found
 
 
 def prompt_answer(rows: DataFrame) -> DataFrame:
-    """(idx, prompt, answer) of rows (idx, record): prompt, else text, else ""; answer, else response, else "". A key that is there with null keeps its null."""
+    """(idx, prompt, answer) of rows (idx, record): prompt, else text, else ""; answer, else response, else "". A key that is there with null keeps
+    its null. A record that is no object fails the query that reads it."""
+    kind = F.schema_of_variant(F.parse_json("record"))
+    wrong = F.raise_error(F.concat(F.lit("no object in row "), F.col("idx").cast("string")))
+    record = F.when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.col("record")).otherwise(wrong.cast("string"))
 
     def chain(first, second):
-        a, b = J.field(F.col("record"), first), J.field(F.col("record"), second)
+        a, b = J.field(record, first), J.field(record, second)
         has = lambda f: F.coalesce(f["present"], F.lit(False))
         return F.when(has(a), a["text"]).when(has(b), b["text"]).otherwise("")
 
@@ -97,18 +131,25 @@ def prompt_answer(rows: DataFrame) -> DataFrame:
 
 
 def _array(spark: SparkSession, path: str, objects_too: bool) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(J.parse(F.col("value")).alias("p"))
-    kind = whole.select("p.ok", "p.kind").first()
-    if kind is None or not kind.ok or not (kind.kind == "array" or objects_too and kind.kind == "object"):
+    """(idx, record) of the items of a JSON file, or of all files of a folder by name; every root is looked at."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), J.parse(F.col("value")).alias("p"))
+    canon = F.col("p.canon")
+    items = F.from_json(F.when(F.col("p.kind") == "object", F.concat(F.lit("["), canon, F.lit("]"))).otherwise(canon), "array<string>")
+    right = F.col("p.ok") & F.col("p.kind").isin("array", *["object"] * objects_too)
+    roots = sorted(whole.select("_file", F.coalesce(right, F.lit(False)).alias("right"), F.when(right, F.size(items)).alias("n")).collect())
+    if not roots or not all(r.right for r in roots):
         raise ValueError(f"{path}: the root is not an array")
-    items = F.from_json(F.when(F.col("p.kind") == "object", F.concat(F.lit("["), F.col("p.canon"), F.lit("]"))).otherwise(F.col("p.canon")), "array<string>")
-    each = whole.select(F.posexplode(items).alias("pos", "record"))
-    return each.select(F.col("pos").cast("long").alias("idx"), F.coalesce(J.parse(F.col("record"))["canon"], "record").alias("record"))
+    before, seen = [], 0
+    for r in roots:
+        before.append((r["_file"], seen))
+        seen += r.n
+    each = whole.join(F.broadcast(spark.createDataFrame(before, "_file string, _before long")), "_file").select("_before", F.posexplode(items).alias("pos", "record"))
+    return each.select((F.col("_before") + F.col("pos")).alias("idx"), F.coalesce(J.parse(F.col("record"))["canon"], "record").alias("record"))
 
 
 def dataset(spark: SparkSession, path: str, most: int = -1) -> DataFrame:
     """(idx, prompt, answer) of a .jsonl file (line indexes below `most`, bad and blank lines counted but left out) or a .json file (an array, capped
-    alike, or one object). No positive `most` takes all; another suffix is a ValueError."""
+    alike, or one object). No positive `most` takes all; another suffix is a ValueError. A record that is no object fails the query."""
     _required(spark, path)
     if path.endswith(".jsonl"):
         rows = lines(spark, path)
@@ -129,8 +170,10 @@ def json_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_memory(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """Rows at hand, by a schema."""
     return spark.createDataFrame(rows, schema)
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON Lines files of a folder as one table, its schema read from them."""
     return spark.read.json(path)

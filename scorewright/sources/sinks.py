@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,16 @@ def write_epoch(stats: DataFrame, path: str, epoch: int) -> None:
 
 def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
     spark.createDataFrame([tuple(metrics.values())], list(metrics)).write.mode("overwrite").json(path)
+
+
+def log_to(path: str, name: str = "scorewright") -> logging.Logger:
+    """The driver's logger `name`, which writes to a file and to stderr; asked for again, it writes each line once all the same."""
+    log = logging.getLogger(name)
+    log.setLevel(logging.INFO)
+    for old in list(log.handlers):
+        log.removeHandler(old)
+        old.close()
+    for handler in (logging.FileHandler(path, encoding="utf-8"), logging.StreamHandler()):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    return log

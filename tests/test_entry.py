@@ -21,15 +21,17 @@ def test_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=ENV)
 
 
-def test_entry_runs_elsewhere(tmp_path):
+def test_entry_runs_elsewhere(tmp_path, spark):
     """A driver that has the repository on its own path only: the executors get the package shipped."""
+    ORDERS = tmp_path
+    spark.createDataFrame([(i, 10.25 * i) for i in range(6)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     code = f"""
 import sys
 sys.path.insert(0, {str(ROOT)!r})
 import __spark_entry__ as e
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
-assert e.queries()["accuracy_reward"](spark, "").count() == 6
+assert e.queries()["accuracy_reward"](spark, {str(ORDERS)!r}).where("reward = 1").count() == 4
 spark.stop()
 """
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=ENV, timeout=200)

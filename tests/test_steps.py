@@ -30,6 +30,30 @@ def test_known_baseline(spark):
     assert [round(r.baseline, 6) for r in steps.ema(stats).orderBy("step").collect()] == [0.05, 0.115, 0.1935]
 
 
+def test_baseline_of_many_steps_and_failures(spark):
+    means = [None if i % 7 == 3 else ((i * 31) % 50) / 50 for i in range(70_000)]
+    stats = spark.createDataFrame([(i + 5, m, 9.0) for i, m in enumerate(means)], "step long, reward_mean double, baseline double").repartition(5)
+    got = steps.ema(stats, 0.8, 0.25).orderBy("step").collect()  # three levels of blocks, and an older baseline
+    b = 0.25
+    assert len(got) == len(means) and got[0].__fields__ == ["step", "reward_mean", "baseline"]
+    for m, r in zip(means, got, strict=True):
+        b = b if m is None else 0.8 * b + 0.2 * m
+        assert r.baseline == pytest.approx(b)
+    rows = spark.createDataFrame([(i, None if i == 3 else 0.5) for i in range(6)], "idx long, reward double")
+    kept = steps.batch_stats(rows, 2).orderBy("step").collect()
+    assert [(r.reward_mean, r.reward_min, r.n) for r in kept] == [(0.5, 0.5, 2), (None, None, 2), (0.5, 0.5, 2)]
+    adv = {r.idx: r.advantage for r in steps.advantages(rows, steps.ema(steps.batch_stats(rows, 2)), 2).collect()}
+    assert adv[2] == pytest.approx(0.5 - 0.05) and adv[3] is None and adv[4] == pytest.approx(0.5 - 0.095)
+
+
+def test_index_with_ties_and_old_names(spark):
+    rows = spark.createDataFrame([("a", 7), ("b", 7), ("a", 7), (None, 7)], "k string, idx int")
+    got = [(r.k, r.idx) for r in steps.with_index(rows, "k").orderBy("idx").collect()]
+    assert got == [(None, 0), ("a", 1), ("a", 2), ("b", 3)]
+    other = spark.createDataFrame([(9, "x"), (8, "y")], "n long, v string")
+    assert [(r.idx, r.k, r.v) for r in steps.zip_rows(rows, other, "k", "n").orderBy("idx").collect()] == [(0, None, "y"), (1, "a", "x")]
+
+
 def test_epochs(spark):
     rows = spark.range(5).withColumnRenamed("id", "idx")
     got = steps.epochs(rows, 2, 2, 5).orderBy("epoch", "idx").collect()
@@ -67,12 +91,22 @@ def test_chat(spark):
     assert chat.length_filter(tok.where("doc_id = 2")).count() == 1  # a lone row stays
     vocabulary = spark.createDataFrame([("a", 5)], "token string, id long")
     assert {r.doc_id: r.input_ids for r in chat.vocabulary_ids(tok, vocabulary).collect()} == {1: [5, 0], 2: []}
+    again = df.unionByName(spark.createDataFrame([(1, "c a"), (1, "a b c"), (3, None)], df.schema))
+    got = sorted((r.doc_id, r.input_ids, r.attention_mask) for r in chat.encoded(again, vocabulary, 2, 9).collect())
+    assert got == [(1, [5, 9], [1, 1]), (1, [5, 9], [1, 1]), (1, [9, 5], [1, 1]), (2, [], []), (3, [], [])]
     default = spark.createDataFrame([(0, chat.DEFAULT_TEXT)], "doc_id long, text string")
     assert chat.or_default(df.where("false"), default).count() == 1 and chat.or_default(df, default).count() == 2
     assert chat.with_messages(df).first().messages[0].role == "user"
     assert [m.role for m in df.select(chat.question_prompt(F.col("text"))).first()[0]] == ["system", "user"]
 
 
+def test_first_rows_and_sorted_values(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), (None, 2, "z"), ("a", 1, "b")], "k string, at long, v string")
+    first = sampling.keep_first(rows, "k", "at")
+    assert first.columns == rows.columns and sorted(map(tuple, first.collect()), key=str) == sorted([("a", 1, "b"), (None, 2, "z")], key=str)
+    assert {r.k: r.v for r in sampling.sorted_values(rows, "k", "v").collect()} == {"a": ["b", "x", "y"], None: ["z"]}
+
+
 @pytest.mark.parametrize("n", [1, 9, 10, 11])
 def test_sampling(spark, n):
     rows = spark.range(n)

@@ -46,6 +46,14 @@ def test_answer_format_marker(spark):
     assert column(spark, [None], T.answer) == [""]
 
 
+def test_tokens_are_no_white_space(spark):
+    rows = [*texts(300, 8), "a\u3000b\xa0c", "naïve_x 3é", "你好\u3000世界。", "e\u0301t"]
+    want = [re.findall(r"\w+|[^\w\s]", t.lower().replace("e\u0301", "E")) for t in rows]
+    got = column(spark, rows, T.tokens)
+    assert [[t.replace("e\u0301", "E") for t in g] for g in got] == want
+    assert got[300] == ["a", "b", "c"]
+
+
 def test_bounded(spark):
     rows = ["x" * 1999, "x" * 2000, "x" * 2001, "😀" * 2001]
     assert column(spark, rows, T.bounded) == [t if len(t) <= 2000 else t[:2000] + "..." for t in rows]
