@@ -123,7 +123,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int = 5):
     """(hashes, bounds) of the runs of k words; fewer words than k make one shingle, no word none."""
     n = np.diff(bounds)
     total = np.zeros(len(hashes), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(hashes))):
         total[: len(hashes) - j] += hashes[j:] * STEP[j]
     made = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     out_bounds = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
