@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,7 +85,7 @@ TEMPLATES = (
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-_FOUND = "doc_id long, license string, dice double, start_word long, end_word long, n_licenses long"
+_FOUND = "doc_id long, license string, dice double, start_word long, end_word long, n_licenses long, n_notices long"
 
 
 def bigrams(column):
@@ -99,45 +101,69 @@ def bigrams(column):
 
 
 class Templates:
+    """The bigrams of the templates: of each how often it is there (`count`), by template (`owner`) and place among all bigrams (`grams`)."""
+
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
         sets = []
         for _, _, pair, bounds in bigrams(pa.array([t for _, t in templates], pa.large_string())):
-            sets += [np.unique(pair[bounds[i] : max(bounds[i], bounds[i + 1] - 1)]) for i in range(len(bounds) - 1)]
-        self.sizes = np.array([len(s) for s in sets])
-        self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
-        grams = np.concatenate([np.zeros(0, np.int64), *[np.searchsorted(self.keys, s) for s in sets]]).astype(np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+            sets += [np.unique(pair[bounds[i] : max(bounds[i], bounds[i + 1] - 1)], return_counts=True) for i in range(len(bounds) - 1)]
+        self.sizes = np.array([n.sum() for _, n in sets])
+        self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in sets)]))
+        grams = np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(self.keys, s) for s, _ in sets)]).astype(np.int64)
+        count = np.concatenate([np.zeros(0, np.int64), *(n for _, n in sets)])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
         order = np.lexsort((owner, grams))
-        self.grams, self.owner = grams[order], owner[order]
+        self.grams, self.owner, self.count = grams[order], owner[order], count[order]
 
 
-def best_window(places: np.ndarray, grams: np.ndarray, size: int, least: float) -> tuple[float, int, int]:
-    """(Dice, first bigram, last bigram) of the best run of bigrams against a template of `size` bigrams; (0, 0, 0) under `least`.
+def windows(places: np.ndarray, grams: np.ndarray, often: np.ndarray, size: int, least: float) -> list[tuple[float, int, int]]:
+    """(Dice, first bigram, last bigram) of runs of bigrams against a template of `size` bigrams, `least` or more, the best first; none overlaps a better one.
 
-    A run counts all its bigrams, and each of the template's once. Runs over (2 - least) / least times the template can't reach `least`.
+    `places` are those of bigrams that the template has, `often` times each. Bigrams count as often as they are there, on either side. For
+    each first bigram the best last one is a candidate. Runs over (2 - least) / least times the template can't reach `least`.
     """
-    best = (0.0, 0, 0)
     most = int(size * (2 - least) / least + 1e-9)
-    for i in range(len(places)):
-        seen = set()
+    places, grams, often = places.tolist(), grams.tolist(), often.tolist()
+    found = []
+    for i, first in enumerate(places):
+        seen: dict = {}
+        both, best = 0, (0.0, 0, 0)
         for j in range(i, len(places)):
-            wide = int(places[j] - places[i]) + 1
+            wide = places[j] - first + 1
             if wide > most:
                 break
-            seen.add(int(grams[j]))
-            dice = 2 * len(seen) / (size + wide)
+            g = grams[j]
+            seen[g] = seen.get(g, 0) + 1
+            both += seen[g] <= often[j]
+            dice = 2 * both / (size + wide)
             if dice > best[0] + 1e-12:
-                best = (dice, int(places[i]), int(places[j]))
-    return best if best[0] >= least else (0.0, 0, 0)
+                best = (dice, first, places[j])
+        if best[0] >= least:
+            found.append(best)
+    return _apart(sorted(found, key=lambda r: (-r[0], r[1])), lambda r: (r[1], r[2] + 2))
+
+
+def _apart(runs: list, span) -> list:
+    """The runs, in their order, whose words (span: first, end) are in none taken before."""
+    taken, begins, ends = [], [], []
+    for r in runs:
+        low, high = span(r)
+        at = bisect.bisect_left(begins, low)
+        if (at == 0 or ends[at - 1] <= low) and (at == len(begins) or high <= begins[at]):
+            begins.insert(at, low)
+            ends.insert(at, high)
+            taken.append(r)
+    return taken
 
 
 def scan_licenses(documents: DataFrame, least: float = 0.8, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, license, dice, start_word, end_word, n_licenses) for every document.
+    """(doc_id, license, dice, start_word, end_word, n_licenses, n_notices) for every document.
 
-    Texts and templates are normalised to words of letters and digits without case. Every run of a text's words is a candidate: the best run for
-    a template is that with the highest Dice coefficient of word bigrams, from `least` on. license is that of the best template (ties to the longer, then
-    the first listed), its place is counted in words, end exclusive, and n_licenses counts the different licences of runs that don't overlap a better one. A template of n bigrams
+    Texts and templates are normalised to words of letters and digits without case. Every run of a text's words is a candidate, its value
+    the Dice coefficient of the word bigrams with a template's, each counted as often as it is there; runs from `least` on are notices. Those that
+    share words with a better one (ties to the longer template, then the first listed, then the earlier run) are left out. license is that of the best, its place is
+    counted in words, end exclusive, n_licenses counts the different licences and n_notices all notices. A template of n bigrams
     is left out where the whole text has fewer than least * n / (2 - least) of them: no run could reach `least`. Null and empty texts
     and texts without a notice have a null license, dice 0.0 and null places. Repeated rows are scanned alike; other columns are ignored; a null doc_id stays
     null; no documents give no rows.
@@ -147,7 +173,7 @@ def scan_licenses(documents: DataFrame, least: float = 0.8, templates=TEMPLATES)
         t = Templates(templates)
         need = np.ceil(least * t.sizes / (2 - least) - 1e-9)
         for b in batches:
-            out = [[None, 0.0, None, None, 0] for _ in range(b.num_rows)]
+            out = [[None, 0.0, None, None, 0, 0] for _ in range(b.num_rows)]
             for lo, hi, pair, bounds in bigrams(b.column("text")):
                 at = np.minimum(np.searchsorted(t.keys, pair), len(t.keys) - 1)
                 hit = np.flatnonzero(t.keys[at] == pair)
@@ -157,10 +183,13 @@ def scan_licenses(documents: DataFrame, least: float = 0.8, templates=TEMPLATES)
                 first, last = np.searchsorted(t.grams, gram), np.searchsorted(t.grams, gram, "right")
                 n = last - first
                 which = np.repeat(np.arange(len(hit)), n)
-                owner = t.owner[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(hit) else np.zeros(0, np.int64)
+                entry = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else np.zeros(0, np.int64)
+                owner, often = t.owner[entry], t.count[entry]
                 pairs = doc[which] * len(t.sizes) + owner
-                distinct = np.unique(pairs * len(t.keys) + gram[which])
-                group, count = np.unique(distinct // len(t.keys), return_counts=True)
+                distinct, one = np.unique(pairs * len(t.keys) + gram[which], return_index=True)
+                group, of = np.unique(distinct // len(t.keys), return_inverse=True)
+                # no run shares more with the template than all its bigrams that the text has
+                count = np.bincount(of, often[one], len(group))
                 group = group[count >= need[group % len(t.sizes)]]
                 order = np.argsort(pairs, kind="stable")
                 starts, ends = np.searchsorted(pairs[order], group), np.searchsorted(pairs[order], group, "right")
@@ -168,18 +197,14 @@ def scan_licenses(documents: DataFrame, least: float = 0.8, templates=TEMPLATES)
                 for g, s, e in zip(group.tolist(), starts.tolist(), ends.tolist(), strict=True):
                     d, k = divmod(g, len(t.sizes))
                     rows = which[order[s:e]]
-                    dice, i, j = best_window(hit[rows] - bounds[d], gram[rows], int(t.sizes[k]), least)
-                    if dice:
+                    for dice, i, j in windows(hit[rows] - bounds[d], gram[rows], often[order[s:e]], int(t.sizes[k]), least):
                         found.setdefault(d, []).append((-dice, -int(t.sizes[k]), k, i, j + 2))
                 for d, runs in found.items():
-                    taken: list = []
-                    for r in sorted(runs):
-                        if all(r[4] <= x[3] or x[4] <= r[3] for x in taken):
-                            taken.append(r)
+                    taken = _apart(sorted(runs), lambda r: r[3:])
                     dice, _, k, i, j = taken[0]
-                    out[lo + d] = [t.names[k], -dice, i, j, len({t.names[x[2]] for x in taken})]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                    out[lo + d] = [t.names[k], -dice, i, j, len({t.names[x[2]] for x in taken}), len(taken)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.string(), pa.float64(), *[pa.int64()] * 4)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     lean(documents.sparkSession)
