@@ -172,7 +172,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, **settings) -> DataF
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of `documents`, all their columns unchanged, that don't score 0.5 or more."""
+    """The rows of `documents`, all their columns unchanged, that don't score 0.5 or more.
+
+    Null and empty texts score as the bias says, so they stay unless most labels are toxic; repeated rows stay or go alike, a null doc_id is no
+    reason to go, without labels all stay, and no documents give no rows.
+    """
     score = learn_toxicity(documents, labels, **settings)
 
     def run(batches):
