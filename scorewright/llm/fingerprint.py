@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .cluster import Scratch, lean, partitions
+from .cluster import Scratch, components, lean, partitions
+from .neardup import Scheme, linked
 
 SLOTS = 64
 WORDS = 5
+ROWS = 3  # slots in a band: at similarity 0.75 all 21 bands miss with probability 1e-5
 _LOW = np.iinfo(np.int64).min
 
 
@@ -57,6 +59,22 @@ def signatures(column, slots: int = SLOTS, k: int = WORDS) -> np.ndarray:
     return out
 
 
+def _minima(items: np.ndarray) -> np.ndarray:
+    """The low 16 bits of the slots' minima over a set of shingle hashes."""
+    a, b = _permutations(SLOTS)
+    if not len(items):
+        return np.full(SLOTS, 0xFFFF, np.uint16)
+    x = items >> np.uint64(32)
+    return np.array([((x * a[j] + b[j]).min() >> np.uint64(32)) & np.uint64(0xFFFF) for j in range(SLOTS)], np.uint16)
+
+
+def _equal_slots(x, y, n, m):
+    return (x == y).mean(1)
+
+
+MIN_HASH = Scheme(SLOTS, ROWS, _minima, _equal_slots)
+
+
 def _hex(sig: np.ndarray) -> pa.Array:
     """The low 16 bits of each slot as one hexadecimal string for each row."""
     body = sig.astype(">u2").tobytes().hex()
@@ -147,12 +165,11 @@ def near_pairs(documents: DataFrame, least: float = 0.75) -> DataFrame:
     """(a, b, jaccard), a < b: links between documents whose shingle sets are at least so alike, enough of them to join all that belong together.
 
     Documents with equal sets are linked with the smallest doc_id among them (jaccard 1.0), and that one stands for them in other links.
-    Texts without words and rows without doc_id are linked with nothing; rows that repeat an id are documents with that id. Classes of equal
-    sets meet in the signature bands of neardup with one leader for each band, and those that a leader leaves in different components
-    are searched in blocks; so the pairs grow with the documents, not with the square of a group. Similarity is checked on the whole sets.
+    Texts without words and rows without doc_id are linked with nothing; rows that repeat an id are documents with that id. No documents
+    give no rows. Classes of equal sets meet in bands of ROWS slots of their MinHash signatures with one leader for each band, and those that
+    a leader leaves in different components are searched in blocks; so the pairs grow with the documents, not with the square of a group.
+    Pairs with under `least` - 0.3 of their slots equal are left out, the others' Jaccard similarity is verified on the whole sets.
     """
-    from .neardup import linked
-
     def verify(batches):
         for b in batches:
             rows, near = [], []
@@ -166,7 +183,7 @@ def near_pairs(documents: DataFrame, least: float = 0.75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(near, pa.float64())], names=["a", "b", "jaccard"])
 
     scratch = Scratch(documents.sparkSession)
-    sketched, classes, texts, links = linked(scratch, documents, 100 * least, least - 0.25)
+    sketched, classes, texts, links = linked(scratch, documents, 100 * least, least - 0.3, MIN_HASH)
     side = lambda x: texts.join(classes.select("node", "least"), "node").select(F.col("node").alias(f"node_{x}"), F.col("least").alias(x), F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"))
     found = (
         links.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).distinct().join(side("a"), "node_a").join(side("b"), "node_b")
@@ -175,3 +192,20 @@ def near_pairs(documents: DataFrame, least: float = 0.75) -> DataFrame:
     equal = sketched.where("n > 0").join(classes.select("key", "least"), "key").select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
     pairs = found.unionByName(equal).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
     return scratch.finish(pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))
+
+
+def near_groups(documents: DataFrame, least: float = 0.75) -> DataFrame:
+    """(doc_id, group_id) of each distinct doc_id that is linked with another: the smallest one that it reaches by near_pairs."""
+    scratch = Scratch(documents.sparkSession)
+    pairs = near_pairs(documents, least).select("a", "b")
+    return scratch.finish(components(scratch, pairs).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group_id")))
+
+
+def fingerprint_documents(documents: DataFrame, least: float = 0.75) -> DataFrame:
+    """fingerprint_edits with group_id: the smallest doc_id that a document reaches by links of near_pairs, its own if it has none.
+
+    Rows that repeat a doc_id share its group; a null doc_id has a null group_id.
+    """
+    groups = near_groups(documents, least).withColumnRenamed("doc_id", "_id")
+    prints = fingerprint_edits(documents)
+    return prints.join(groups, F.col("doc_id") == F.col("_id"), "left").select(*prints.columns, F.coalesce("group_id", "doc_id").alias("group_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,28 +63,51 @@ def likely_similarity(above, below, size_u, size_v) -> np.ndarray:
     return grid[value.argmax(1)]
 
 
-def _sketches(batches):
-    for b in batches:
-        n, key, sig = [], [], []
-        for s in wordhash.shingle_sets(b.column("text")):
-            n.append(len(s))
-            key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            sig.append(registers(s).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "key", "sig"])
+@dataclass(frozen=True)
+class Scheme:
+    """A kind of sketch: so many 16-bit registers, so many in a band, the sketch of a set, and the estimated similarity of pairs of sketches (x, y, sizes of x and y)."""
+
+    width: int
+    rows: int
+    registers: Callable
+    likely: Callable
+
+    @property
+    def bands(self) -> int:
+        return self.width // self.rows
+
+
+def _set_sketch_likely(x, y, n, m):
+    return likely_similarity((x > y).sum(1), (x < y).sum(1), n.astype(float), m.astype(float))
+
+
+SET_SKETCH = Scheme(REGISTERS, ROWS, registers, _set_sketch_likely)
+
+
+def _sketches(scheme: Scheme):
+    def run(batches):
+        for b in batches:
+            n, key, sig = [], [], []
+            for s in wordhash.shingle_sets(b.column("text")):
+                n.append(len(s))
+                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append(scheme.registers(s).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "key", "sig"])
+
+    return run
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _likely(least):
+def _likely(least, scheme: Scheme):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = _sigs(b.column("sig_a")), _sigs(b.column("sig_b"))
-            sizes = [b.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
-            keep = likely_similarity((x > y).sum(1), (x < y).sum(1), *sizes) >= least
+            keep = scheme.likely(x, y, *(b.column(c).to_numpy() for c in ("n_a", "n_b"))) >= least
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -111,7 +136,7 @@ def _confirm(percent):
     return run
 
 
-def _compare(percent, least):
+def _compare(percent, least, scheme: Scheme):
     """Rows (band, one, two, at, own, node, comp, n, shared, sig, items) by blocks of a band: links of different components.
 
     A pair is looked at in the first band that it shares, and never where the shingles that a text shares with any other text under
@@ -121,9 +146,9 @@ def _compare(percent, least):
     def pairs(rows, one, two, at):
         own = np.array([r[0] for r in rows])
         node, comp, n, shared = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1)
         items = [np.frombuffer(r[6], np.uint64) for r in rows]
-        bands = sig.reshape(len(rows), REGISTERS // ROWS, ROWS)
+        bands = sig[:, : scheme.bands * scheme.rows].reshape(len(rows), scheme.bands, scheme.rows)
         left, right = (np.flatnonzero(own == k) for k in (one, two))
         for lo in range(0, len(left), 16):
             i = left[lo : lo + 16]
@@ -136,12 +161,11 @@ def _compare(percent, least):
             p, q = i[p], right[q]
             for cut in range(0, len(p), 4096):
                 x, y = p[cut : cut + 4096], q[cut : cut + 4096]
-                equal = (sig[x] == sig[y]).sum(1)
-                near = equal >= 0.4 * REGISTERS
+                near = (sig[x] == sig[y]).mean(1) >= 0.4
                 x, y = x[near], y[near]
                 if not len(x):
                     continue
-                good = likely_similarity((sig[x] > sig[y]).sum(1), (sig[x] < sig[y]).sum(1), n[x].astype(float), n[y].astype(float)) >= least
+                good = scheme.likely(sig[x], sig[y], n[x], n[y]) >= least
                 x, y = x[good], y[good]
                 first = (bands[x] == bands[y]).all(2).argmax(1) == at if len(x) else np.zeros(0, bool)
                 x, y = x[first], y[first]
@@ -165,22 +189,23 @@ def _compare(percent, least):
     return run
 
 
-def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float, scheme: Scheme = SET_SKETCH) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sketched, classes, texts, links): every document's sketch, the classes of equal sets, the texts of classes with company, and the links
     (a, b) between classes that make the components, confirmed; see near_duplicates."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = scratch.table(docs.mapInArrow(_sketches, _SKETCH))
+    sketched = scratch.table(docs.mapInArrow(_sketches(scheme), _SKETCH))
     classes = scratch.table(
         sketched.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    count = REGISTERS // ROWS
-    at = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("at")
-    bands = classes.select("node", "sig", at).select("node", "at", F.xxhash64(F.substring("sig", F.col("at") * (2 * ROWS) + 1, F.lit(2 * ROWS)), "at").alias("band"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(scheme.bands - 1))).alias("at")
+    wide = 2 * scheme.rows
+    bands = classes.select("node", "sig", at).select("node", "at", F.xxhash64(F.substring("sig", F.col("at") * wide + 1, F.lit(wide)), "at").alias("band"))
     company = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = scratch.table(bands.join(company, "band"))
     degree = members.groupBy("node").agg(F.sum(F.col("c") - 1).alias("degree"))
-    leader = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("a"))
+    # written, so that the rows of a very common band are split over several tasks
+    leader = scratch.table(members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("a")))
     star = members.join(leader, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     # the texts of one document of each class that has any company
     texts = scratch.table(
@@ -188,7 +213,7 @@ def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float
     )
     side = lambda df, x: df.select(*[F.col(c).alias(c.replace("node", x) if c == "node" else f"{c}_{x}") for c in df.columns])
     small = classes.select("node", "n", "sig")
-    likely_pairs = scratch.table(star.join(side(small, "a"), "a").join(side(small, "b"), "b").mapInArrow(_likely(likely), "a long, b long"))
+    likely_pairs = scratch.table(star.join(side(small, "a"), "a").join(side(small, "b"), "b").mapInArrow(_likely(likely, scheme), "a long, b long"))
 
     def confirmed(pairs):
         return scratch.table(pairs.join(side(texts, "b"), "b").join(side(texts, "a"), "a").mapInArrow(_confirm(percent), "a long, b long"))
@@ -223,7 +248,7 @@ def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float
         "band", F.least("own", "met").alias("one"), F.greatest("own", "met").alias("two"), "at", "own", "node", "comp", "n", "shared", "sig", "items"
     )
     more = scratch.table(
-        dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_compare(percent, likely), "a long, b long")
+        dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_compare(percent, likely, scheme), "a long, b long")
     )
     return sketched, classes, texts, links.unionByName(more)
 
@@ -256,7 +281,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5
 def keep_one(documents: DataFrame, percent: int = 75) -> DataFrame:
     """One row of each group, that with the smallest doc_id, with all its columns; rows alike in doc_id and text count once.
 
-    Documents without a word or without a doc_id are in no group and stay.
+    Documents without a word or without a doc_id are in no group and stay. Of an id that is given to different texts all texts
+    stay or go, as its group's smallest id does or doesn't. No documents give no rows.
     """
     kept = near_duplicates(documents, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     with_id = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -81,6 +81,14 @@ def test_word_hashes_match_words():
     assert len(long) == 900_001 and len(set(long.tolist())) == 2
 
 
+def test_shingles_of_few_words():
+    for texts in (["one two three"], ["a"], [""], [None], ["a b", "", "c"], ["a b c d e"]):
+        sets = list(wordhash.shingle_sets(pa.array(texts, pa.string())))
+        assert [len(s) for s in sets] == [int(bool(t)) for t in texts]
+    alone, beside = (list(wordhash.shingle_sets(pa.array(x)))[0] for x in (["a b"], ["a b", "c d e f g h"]))
+    assert alone.tolist() == beside.tolist()
+
+
 def test_ranks_and_components(spark):
     scratch = Scratch(spark)
     df = spark.createDataFrame([(i % 3, i) for i in range(100)], "g int, x long")
@@ -363,6 +371,9 @@ def test_near_pairs_match_brute_force(spark):
         assert r.a < r.b and r.jaccard >= 0.75 and any(abs(jaccard(x, y) - r.jaccard) < 1e-9 for x in texts[r.a] for y in texts[r.b] if words(x) and words(y))
         x, y = sorted((find(r.a), find(r.b)))
         parent[y] = x
+    full = fingerprint.fingerprint_documents(frame(spark, [*rows, (None, "a b c")])).collect()
+    assert Counter((r.doc_id, r.group_id) for r in full) == Counter([*((i, find(i)) for i, _ in rows), (None, None)])
+    assert fingerprint.near_groups(frame(spark, rows).where("false")).count() == 0
     assert Counter(find(i) for i, _ in rows) == Counter({c: n for c, n in Counter(c for (_, _, c), m in brute_components(rows).items() for _ in range(m)).items()})
     assert {i: find(i) for i in parent} == {i: c for i, _, c in brute_components(rows)}
 
@@ -504,6 +515,18 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(none, known).count() == 0
 
 
+def test_margins_match_brute_force():
+    rng = np.random.default_rng(3)
+    machine = toxicity.FactorizationMachine(12, seed=5)
+    machine.bias, machine.weight, machine.factor = 0.3, rng.normal(size=12), rng.normal(size=(12, 4))
+    sets = [sorted(rng.choice(12, rng.integers(0, 9), replace=False).tolist()) for _ in range(30)]
+    docs = np.repeat(np.arange(30), [len(s) for s in sets])
+    got = machine.margins(docs, np.array([f for s in sets for f in s], int), 30)
+    for s, m in zip(sets, got, strict=True):
+        pairs = sum(machine.factor[i] @ machine.factor[j] for a, i in enumerate(s) for j in s[a + 1 :])
+        assert m == pytest.approx(0.3 + sum(machine.weight[i] for i in s) + pairs)
+
+
 # 8: packing
 
 
@@ -556,21 +579,27 @@ def test_licenses(spark, docs, none):
         (0, prose(rng, 40) + "\nreleased UNDER the mit licence -- License.\n" + prose(rng, 40)), (1, "Released under the MIT License."), (2, mit.replace(",", " ;").upper()),
         (3, "This work is licensed under the GNU General Public License, version 3. Also: Licensed under CC BY-NC 4.0."), (4, prose(rng, 500)), (5, None), (6, ""),
         (7, prose(rng, 30) + " " + mit.replace("modify, merge", "change, join") + " " + prose(rng, 30)), (8, "under the license the mit released"),
+        (9, " ".join(["Released under the MIT License. own words here"] * 3 + [mit, "Licensed under CC BY 4.0.", mit])), (10, "of the " * 20_000 + "Licensed under CC BY 4.0." + " of the" * 20_000),
     ]
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
-    assert {i: r.license for i, r in got.items()} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: None, 5: None, 6: None, 7: "MIT", 8: None}
+    assert {i: r.license for i, r in got.items()} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: None, 5: None, 6: None, 7: "MIT", 8: None, 9: "MIT", 10: "CC-BY-4.0"}
     assert got[3].n_licenses == 2 and got[1].dice == 1.0 and (got[1].start_word, got[1].end_word) == (0, 5) and got[4].dice == 0.0
     assert 0.9 < got[7].dice < 1 and got[7].start_word == 30
+    assert (got[9].n_licenses, got[9].n_notices) == (2, 6) and (got[3].n_notices, got[0].n_notices, got[10].n_notices) == (2, 1, 1)
     plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
-    grams = lambda w: [tuple(w[i : i + 2]) for i in range(len(w) - 1)]
-    for i in (0, 7):  # brute force over every run of words
-        own, best = grams(plain(rows[i][1])), 0
+    grams = lambda w: Counter(tuple(w[i : i + 2]) for i in range(len(w) - 1))
+    for i in (0, 3, 7, 9):  # brute force over every run of words, bigrams counted as often as they are there
+        own, best = plain(rows[i][1]), 0
         for _, t in licenses.TEMPLATES:
-            want = set(grams(plain(t)))
-            for a in range(len(own)):
-                for b in range(a + 1, min(len(own), a + 2 * len(want)) + 1):
-                    if own[a] in want and own[b - 1] in want:
-                        best = max(best, 2 * len(want & set(own[a:b])) / (len(want) + b - a))
+            want = grams(plain(t))
+            size = want.total()
+            for a in range(len(own) - 1):
+                held, both = Counter(), 0
+                for b in range(a, min(len(own) - 1, a + 2 * size)):
+                    g = (own[b], own[b + 1])
+                    held[g] += 1
+                    both += held[g] <= want[g]
+                    best = max(best, 2 * both / (size + b - a + 1))
         assert got[i].dice == pytest.approx(best)
     assert licenses.scan_licenses(docs).count() == len(corpus()) and licenses.scan_licenses(none).count() == 0
 
@@ -645,3 +674,66 @@ def test_mixtures_match_brute_force():
         assert b == held[1] and abs(s - held[2]) < 1e-6
         sizes.append(held[3])
     assert {1, 2, 3} <= set(sizes)
+
+
+# texts of more than a chunk, and clashing columns
+
+
+def test_very_long_texts(spark):
+    """Texts of over 2 MiB give what brute force gives for the same words."""
+    rng = random.Random(31)
+    pool = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    long = " ".join(rng.choices(pool, k=420_000))
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    rows = [(1, long), (2, f"{long} tail"), (3, passage), (4, f"{long[: len(long) // 2]} {mit} {passage} {' '.join(reversed(pool))} end"), (5, "short one here")]
+    assert len(long) > wordhash.CHUNK_BYTES
+    df = frame(spark, rows)
+    near = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in near.items()} == {d: (n, c) for d, n, c in brute_components(rows)}
+    assert {r.doc_id: r.group_id for r in fingerprint.fingerprint_documents(df).collect()} == {i: r.component_id for i, r in near.items()}
+    found = passages.repeated_passages(df.where("doc_id > 1 and doc_id <> 4 or doc_id = 4")).collect()
+    at = len(words(rows[3][1].split(passage)[0]))
+    assert any(r.doc_id == 4 and r.src_doc_id == 3 and r.start_word <= at and r.end_word >= at + 80 for r in found)
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert got[4].license == "MIT" and got[1].license is None
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(df, labels).count() == 5
+    names = {r.doc_id: r.lang_pred for r in language.identify_language(df).collect()}
+    assert set(names.values()) == {"en"}
+
+
+def test_columns_that_clash(spark):
+    rng = random.Random(32)
+    shared = prose(rng, 90, 10**6)
+    rows = [(i, f"{prose(rng, 30, 10**6)} {shared} {prose(rng, 30, 10**6)}") for i in range(4)] + [(9, None), (None, "x y")]
+    extra = ("_spans", "_spans_id", "_spans_fp", "_cut_id", "spans", "fp", "start", "seed", "node", "band", "n", "component_id", "kept", "a", "b", "id")
+    df = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in extra})
+    cut = passages.cut_passages(df)
+    assert cut.columns == df.columns
+    kept = {r.doc_id: r for r in cut.collect()}
+    assert shared in kept[0].text and all(shared not in kept[i].text for i in (1, 2, 3)) and None in kept
+    assert all(r[c] == f"own {c}" for r in kept.values() for c in extra)
+    one = neardup.keep_one(df)
+    assert one.columns == df.columns and one.count() == len(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(df, labels).columns == df.columns and language.keep_languages(df).columns == df.columns
+
+
+def test_local_folders_are_refused_on_clusters():
+    class Elsewhere:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Settings(dict):
+        set = dict.__setitem__
+
+    class Session:
+        sparkContext, conf = Elsewhere(), Settings({"spark.sql.execution.arrow.maxRecordsPerBatch": "10"})
+
+    with pytest.raises(ValueError):
+        Scratch(Session())
+    Session.conf.set("spark.checkpoint.dir", "hdfs://shared/")
+    assert Scratch(Session()).root.startswith("hdfs://shared/scorewright-")
