@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .cluster import Scratch, components, lean, partitions
-from .neardup import Scheme, linked
+from .cluster import Scratch, lean, partitions
+from .neardup import Scheme, linked, near_duplicates
 
 SLOTS = 64
 WORDS = 5
@@ -194,18 +194,20 @@ def near_pairs(documents: DataFrame, least: float = 0.75) -> DataFrame:
     return scratch.finish(pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))
 
 
-def near_groups(documents: DataFrame, least: float = 0.75) -> DataFrame:
-    """(doc_id, group_id) of each distinct doc_id that is linked with another: the smallest one that it reaches by near_pairs."""
-    scratch = Scratch(documents.sparkSession)
-    pairs = near_pairs(documents, least).select("a", "b")
-    return scratch.finish(components(scratch, pairs).select(F.col("id").alias("doc_id"), F.col("component_id").alias("group_id")))
+def near_groups(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, group_id) of each distinct doc_id: the smallest one that it reaches by links of at least `percent` of shared shingles.
 
+    As near_pairs: signature bands are joined, the Jaccard similarity of what meets is verified. An id of different texts has the smallest of their
+    groups; null ids have no row.
+    """
+    rows = near_duplicates(documents, percent, percent / 100 - 0.3, MIN_HASH).where("doc_id is not null")
+    return rows.groupBy("doc_id").agg(F.min("component_id").alias("group_id"))
 
-def fingerprint_documents(documents: DataFrame, least: float = 0.75) -> DataFrame:
-    """fingerprint_edits with group_id: the smallest doc_id that a document reaches by links of near_pairs, its own if it has none.
 
-    Rows that repeat a doc_id share its group; a null doc_id has a null group_id.
-    """
-    groups = near_groups(documents, least).withColumnRenamed("doc_id", "_id")
-    prints = fingerprint_edits(documents)
-    return prints.join(groups, F.col("doc_id") == F.col("_id"), "left").select(*prints.columns, F.coalesce("group_id", "doc_id").alias("group_id"))
+def fingerprint_documents(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """fingerprint_edits with group_id, as near_groups has it; null for a null doc_id."""
+    scratch = Scratch(documents.sparkSession)
+    groups = scratch.table(near_groups(documents, percent)).withColumnRenamed("doc_id", "_id")
+    # the shuffled texts are gone before the prints are shuffled
+    prints = scratch.table(fingerprint_edits(documents))
+    return scratch.finish(prints.join(groups, F.col("doc_id") == F.col("_id"), "left").select(*prints.columns, "group_id"))

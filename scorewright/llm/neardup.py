@@ -207,10 +207,9 @@ def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float
     # written, so that the rows of a very common band are split over several tasks
     leader = scratch.table(members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("a")))
     star = members.join(leader, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    # the texts of one document of each class that has any company
-    texts = scratch.table(
-        docs.join(classes.join(degree.select("node"), "node", "left_semi").select("node", "key", F.col("least").alias("doc_id")), "doc_id").select("node", "key", "text").distinct()
-    )
+    # the texts of one document of each class that has any company; rows alike are where their doc_id is, so they aren't shuffled again
+    wanted = classes.join(degree.select("node"), "node", "left_semi").select("node", "key", F.col("least").alias("doc_id"))
+    texts = scratch.table(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "node", "key", "text"]).select("node", "key", "text"))
     side = lambda df, x: df.select(*[F.col(c).alias(c.replace("node", x) if c == "node" else f"{c}_{x}") for c in df.columns])
     small = classes.select("node", "n", "sig")
     likely_pairs = scratch.table(star.join(side(small, "a"), "a").join(side(small, "b"), "b").mapInArrow(_likely(likely, scheme), "a long, b long"))
@@ -253,7 +252,7 @@ def linked(scratch: Scratch, documents: DataFrame, percent: float, likely: float
     return sketched, classes, texts, links.unionByName(more)
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5, scheme: Scheme = SET_SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked by similar sets of 5-word shingles.
 
     Two documents are linked if 100 * |intersection| >= percent * |union|, confirmed on the full sets. Words are runs of bytes other than
@@ -268,7 +267,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5
     link: exact for bands of any size, with no pairs inside a group that is already joined.
     """
     scratch = Scratch(documents.sparkSession)
-    sketched, classes, _, links = linked(scratch, documents, percent, likely)
+    sketched, classes, _, links = linked(scratch, documents, percent, likely, scheme)
     joined = components(scratch, links).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
     of_class = scratch.table(classes.select("key", "node", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "least", "comp"))
     lowest = of_class.groupBy("comp").agg(F.min("least").alias("component"))

@@ -86,7 +86,7 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that op4 links with others, and their groups."""
+    """The groups of documents that op4 links."""
     from .fingerprint import near_groups
 
     return near_groups(_table(spark, sf_dir, "documents"))
@@ -174,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "edited_texts": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
             f AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS after FROM t)
             SELECT doc_id, n AS n_chars, sha256(substring(text, 1, n - n // 4) || substring(after, 1, n // 4)) AS edited_sha256 FROM f""",
-        "fingerprint_groups": f"{_GROUPS} SELECT doc_id, component_id AS group_id FROM groups WHERE members > 1",
+        "fingerprint_groups": f"{_GROUPS} SELECT doc_id, component_id AS group_id FROM groups",
         "sharding_summary": """WITH d AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS all_bytes FROM documents),
             s AS (SELECT CAST(range AS INTEGER) AS shard, CAST(n // 8 + CASE WHEN range < n % 8 THEN 1 ELSE 0 END AS BIGINT) AS n, all_bytes FROM range(8), d)
             SELECT shard, n, CAST(0 AS BIGINT) AS first_slot, n - 1 AS last_slot, n AS slots, all_bytes, CAST(0 AS BIGINT) AS cut FROM s WHERE n > 0""",
