@@ -173,9 +173,10 @@ def test_chain_matches_brute_force():
         for x, y in matches:
             before = [(want[j] + passages.GAP_COST * (a + b), j) for j, (a, b) in enumerate(matches[: len(want)]) if a < x and b < y]
             value = float(passages.SEED)
-            if before:
-                top, j = max(before)
-                value = max(value, top - passages.GAP_COST * (x + y) + min(passages.SEED, x - matches[j][0], y - matches[j][1]))
+            same = [j for j, (a, b) in enumerate(matches[: len(want)]) if a - b == x - y]
+            for j in [*(j for _, j in [max(before)] if before), *same[-1:]] if before else []:
+                gaps = x - matches[j][0] + y - matches[j][1]
+                value = max(value, want[j] - passages.GAP_COST * gaps + min(passages.SEED, x - matches[j][0], y - matches[j][1]))
             want.append(value)
         assert passages.chain_scores(matches)[0] == pytest.approx(want)
         found = passages.chain(matches)
@@ -306,6 +307,65 @@ def test_passages_of_frequent_phrases(spark):
     assert all(got[c] == [(10, 70, b)] for b, c in pairs)
 
 
+def test_exact_runs_match_brute_force(spark):
+    """200 documents of frequent lines, shared passages and own words: every run of 50 words of an earlier document is listed, and little else."""
+    rng = random.Random(41)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines, shared = [own(12) for _ in range(30)], [own(rng.randint(50, 90)) for _ in range(15)]
+    shared += [lines[0] + own(20) + lines[1] + own(20), ["again"] * 70, own(3) * 25]
+    texts = []
+    for i in range(200):
+        parts = [own(rng.randint(0, 40))]
+        for _ in range(rng.randint(1, 6)):
+            parts += [rng.choice([lines[rng.randrange(30)], shared[rng.randrange(len(shared))], own(rng.randint(5, 60))]), own(rng.randint(0, 9))]
+        texts.append([w for p in parts for w in p])
+    texts += [list(texts[17]), texts[18][5:], [*texts[19][:40], "x", *texts[19][40:]]]
+    got = defaultdict(set)
+    for r in passages.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)], 7)).collect():
+        assert r.src_doc_id < r.doc_id and r.end_word - r.start_word >= 50 and 0.8 <= r.identity <= 1
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    seen: dict = {}
+    want, near = defaultdict(set), defaultdict(set)
+    for k, held in ((50, want), (6, near)):
+        seen = {}
+        for i, t in enumerate(texts):
+            for a in range(len(t) - k + 1):
+                if seen.setdefault(tuple(t[a : a + k]), i) < i:
+                    held[i] |= set(range(a, a + k))
+    assert sum(map(len, want.values())) > 8000
+    assert all(want[i] <= got[i] for i in range(len(texts)))
+    assert all(len(got[i] & near[i]) >= 0.75 * len(got[i]) for i in got)
+
+
+def test_heavy_seeds_give_the_same_matches():
+    rng = random.Random(42)
+    line, passage = [f"l{i}" for i in range(15)], [f"p{i}" for i in range(70)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(20)), *(passage if i % 3 else []), *line]) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+    def matches(heavy):
+        first = {}
+        for b in passages._heads(50, heavy)(iter([batch])):
+            for k, d, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                first[k] = min(first.get(k, (1 << 60, 0)), (d, at))
+        doc, at = (np.array([first[k][x] for k in range(len(heavy))], np.int64) for x in (0, 1))
+        rows = [r for b in passages._seeds(50, 3, heavy)(iter([batch])) for r in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        seeds = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "body"])
+        found = set()
+        for b in passages._first_holders(50, 3, doc, at)(iter([seeds])):
+            for arrays in passages._gathered([b], 4):
+                found |= set(zip(*(x.tolist() for x in arrays), strict=True))
+        return found, rows
+
+    plain, rows = matches(np.zeros(0, np.uint64))
+    keys, n = np.unique(np.concatenate([k for k, _, _ in passages._found(batch, 50)]), return_counts=True)
+    spread, dealt = matches(np.sort(keys[n > 20]))
+    assert plain == spread and len(plain) > 1000 and (n > 20).sum() > 20
+    sizes = [sum(len(r[1]) for r in x if r[0] == k) for x in (rows, dealt) for k in range(3)]
+    assert max(sizes[3:]) < 1.5 * min(sizes[3:])
+
+
 # 4: fingerprints
 
 
