@@ -159,22 +159,22 @@ WITH RECURSIVE split AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM split
 ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
 ), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS both FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
-), links AS (SELECT a, b FROM shared WHERE 100 * both >= 75 * (n - both)
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS common FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM shared WHERE 100 * common >= 75 * (n - common)
 ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
-), groups AS (SELECT a AS doc_id, min(b) AS component_id, count(*) AS members FROM reach GROUP BY 1)
+), grouped AS (SELECT a AS doc_id, min(b) AS component_id, count(*) AS members FROM reach GROUP BY 1)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": _OP1,
-        "op5_minhash_near_dedup": f"{_GROUPS} SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN groups USING (doc_id)",
+        "op5_minhash_near_dedup": f"{_GROUPS} SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN grouped USING (doc_id)",
         "edited_texts": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
             f AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS after FROM t)
             SELECT doc_id, n AS n_chars, sha256(substring(text, 1, n - n // 4) || substring(after, 1, n // 4)) AS edited_sha256 FROM f""",
-        "fingerprint_groups": f"{_GROUPS} SELECT doc_id, component_id AS group_id FROM groups",
+        "fingerprint_groups": f"{_GROUPS} SELECT doc_id, component_id AS group_id FROM grouped",
         "sharding_summary": """WITH d AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS all_bytes FROM documents),
             s AS (SELECT CAST(range AS INTEGER) AS shard, CAST(n // 8 + CASE WHEN range < n % 8 THEN 1 ELSE 0 END AS BIGINT) AS n, all_bytes FROM range(8), d)
             SELECT shard, n, CAST(0 AS BIGINT) AS first_slot, n - 1 AS last_slot, n AS slots, all_bytes, CAST(0 AS BIGINT) AS cut FROM s WHERE n > 0""",
