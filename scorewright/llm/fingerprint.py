@@ -182,7 +182,7 @@ def near_pairs(documents: DataFrame, least: float = 0.75) -> DataFrame:
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(near, pa.float64())], names=["a", "b", "jaccard"])
 
-    scratch = Scratch(documents.sparkSession)
+    scratch = Scratch(documents.sparkSession, merging=True)
     sketched, classes, texts, links = linked(scratch, documents, 100 * least, least - 0.3, MIN_HASH)
     side = lambda x: texts.join(classes.select("node", "least"), "node").select(F.col("node").alias(f"node_{x}"), F.col("least").alias(x), F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"))
     found = (
@@ -206,7 +206,7 @@ def near_groups(documents: DataFrame, percent: int = 75) -> DataFrame:
 
 def fingerprint_documents(documents: DataFrame, percent: int = 75) -> DataFrame:
     """fingerprint_edits with group_id, as near_groups has it; null for a null doc_id."""
-    scratch = Scratch(documents.sparkSession)
+    scratch = Scratch(documents.sparkSession, merging=True)
     groups = scratch.table(near_groups(documents, percent)).withColumnRenamed("doc_id", "_id")
     # the shuffled texts are gone before the prints are shuffled
     prints = scratch.table(fingerprint_edits(documents))

@@ -266,7 +266,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, likely: float = 0.5
     blocks of at most about BLOCK classes a side, after leaving out classes that share too few shingles with any other to have a
     link: exact for bands of any size, with no pairs inside a group that is already joined.
     """
-    scratch = Scratch(documents.sparkSession)
+    scratch = Scratch(documents.sparkSession, merging=True)
     sketched, classes, _, links = linked(scratch, documents, percent, likely, scheme)
     joined = components(scratch, links).select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
     of_class = scratch.table(classes.select("key", "node", "least").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "least", "comp"))

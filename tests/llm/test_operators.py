@@ -438,6 +438,22 @@ def test_near_pairs_match_brute_force(spark):
     assert {i: find(i) for i in parent} == {i: c for i, _, c in brute_components(rows)}
 
 
+def test_fingerprints_broadcast_no_growing_table(spark, docs):
+    """Sized by its file, the table of the bands' members looks small to Spark at any size that a driver can't hold."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, limit = store.executionsCount(), "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(limit)
+    spark.conf.set(limit, "10m")
+    try:
+        assert fingerprint.fingerprint_documents(docs).count() == docs.count()
+        assert spark.conf.get(limit) == "10m"
+    finally:
+        spark.conf.set(limit, held)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 # 5: near-duplicates
 
 
