@@ -13,12 +13,11 @@ from . import wordhash
 from .cluster import Scratch, partitions
 
 SEED = 6  # words of a short seed
-SAMPLE = 2  # one in so many short seeds is used, chosen by its own hash, so alike in every document
 RUN, STEP = 20, 10  # words of a long seed, and how finely the wider seeds round it are laid
 GAP_COST = 0.08  # for each word skipped on either side, against SEED for a match
 MARGIN, RESYNC, EDGE = 64, 40, 4
 NEAR, ROUND = 4096, 64  # spans of words that are cut from a text together, and the grid of their ends
-TASK_BYTES = 16 << 20  # of text, for each bucket of its seeds
+TASK_BYTES = 10 << 20  # of text, for each bucket of its seeds
 _FACTOR, _LOW = np.uint64(0xD1342543DE82EF95), np.uint64((1 << 40) - 1)
 JOIN = 6  # passages of one document this many words apart, or fewer, are one
 
@@ -101,8 +100,8 @@ def _long(h: np.ndarray, k: int) -> np.ndarray:
 def _found(batch, least_words: int):
     """For each piece of a batch (keys, ids of the documents, places) of its seeds.
 
-    A place is the seed's first word times 4, and its kind: 0 for SEED words, 1 for RUN words, 2 for least_words - STEP words.
-    Any run of least_words equal words has a minimizer of RUN words in common, and one of the wider seeds round it.
+    A place is the seed's first word times 4, and its kind: 0 for SEED words, 1 for RUN words, 2 for least_words - STEP words
+    (3, of _windows: least_words). Any run of least_words equal words has a minimizer of RUN words in common, and one of the wider seeds round it.
     """
     ids = batch.column("doc_id").to_numpy()
     data, offsets = wordhash.utf8(batch.column("text"))
@@ -119,7 +118,7 @@ def _found(batch, least_words: int):
 
         if len(h) >= SEED:
             short = _long(h, SEED)
-            take(SEED, short, np.flatnonzero((of[: len(short)] == of[SEED - 1 :]) & ((short >> np.uint64(33)) % np.uint64(SAMPLE) == 0)), 0)
+            take(SEED, short, np.flatnonzero(of[: len(short)] == of[SEED - 1 :]), 0)
         if window > 1 and len(h) >= RUN:
             run = _long(h, RUN)
             least = np.concatenate([np.zeros(0, np.int64), *(minimizers(run[s : e - RUN + 1], window) + s for s, e in zip(bounds, bounds[1:]) if e - s >= RUN)])
@@ -134,12 +133,49 @@ def _found(batch, least_words: int):
             yield key, ids[lo:hi][of[at]], (at - bounds[of[at]]) * 4 + kind
 
 
-def _frequent(least_words: int, most: int):
+def _held(batches):
+    """Packed rows (bucket, body) of places to (doc_id, at)."""
+    for b in batches:
+        for body in b.column("body").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in unpacked(body, 2)], names=["doc_id", "at"])
+
+
+def _windows(least_words: int):
+    """(doc_id, text, places) to (doc_id, body): the (key, place) of every run of least_words words that holds one of the runs of RUN words at the places."""
+
+    def run(batches):
+        for b in batches:
+            docs, bodies = [], []
+            for doc, text, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+                h = wordhash.words(*wordhash.utf8(pa.array([text], pa.large_string())))[0]
+                if len(h) < least_words:
+                    continue
+                key, step = _long(h, least_words), np.zeros(len(h) + 2, np.int64)
+                places = np.array(places, np.int64)
+                places = places[places <= len(h) - RUN]  # others are of another text of a repeated doc_id
+                np.add.at(step, np.maximum(places - (least_words - RUN), 0), 1)
+                np.add.at(step, places + 1, -1)
+                at = np.flatnonzero(np.cumsum(step)[: len(key)] > 0)
+                docs.append(doc), bodies.append(packed([key[at].view(np.int64), at], 0, len(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "body"])
+
+    return run
+
+
+def _found_windows(batch, least_words: int):
+    """As _found, of the rows of _windows."""
+    for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+        key, at = unpacked(body, 2)
+        if len(key):
+            yield key.view(np.uint64) ^ np.uint64(least_words), np.full(len(key), doc), at * 4 + 3
+
+
+def _frequent(least_words: int, most: int, found=_found):
     """(key, n) of the seeds that make one in 2 * most or more of a piece's, and (null, n) for all of them."""
 
     def run(batches):
         for b in batches:
-            for key, _, _ in _found(b, least_words):
+            for key, _, _ in found(b, least_words):
                 unique, n = np.unique(key, return_counts=True)
                 often = n >= max(2, len(key) / (2 * most))
                 keys = pa.array([*unique[often].view(np.int64).tolist(), None], pa.int64())
@@ -156,12 +192,12 @@ def _hit(heavy: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(heavy[at] == key, at, -1)
 
 
-def _heads(least_words: int, heavy: np.ndarray):
+def _heads(least_words: int, heavy: np.ndarray, found=_found):
     """(heavy, doc_id, place): the first place of each heavy seed in each piece."""
 
     def run(batches):
         for b in batches:
-            for key, doc, at in _found(b, least_words):
+            for key, doc, at in found(b, least_words):
                 which = _hit(heavy, key)
                 rows = np.flatnonzero(which >= 0)
                 rows = rows[np.lexsort((at[rows], doc[rows], which[rows]))]
@@ -171,12 +207,12 @@ def _heads(least_words: int, heavy: np.ndarray):
     return run
 
 
-def _seeds(least_words: int, buckets: int, heavy: np.ndarray):
+def _seeds(least_words: int, buckets: int, heavy: np.ndarray, found=_found):
     """(doc_id, text) to (bucket, body): the (key, doc_id, place) of each seed; heavy ones go to any bucket, their key is -1 less their number."""
 
     def run(batches):
         for b in batches:
-            for key, doc, at in _found(b, least_words):
+            for key, doc, at in found(b, least_words):
                 which = _hit(heavy, key)
                 spread = wordhash.mix(doc.astype(np.int64).view(np.uint64) * _FACTOR + at.astype(np.int64).view(np.uint64))
                 bucket = np.where(which >= 0, spread, key >> np.uint64(40)) % np.uint64(buckets)
@@ -185,12 +221,20 @@ def _seeds(least_words: int, buckets: int, heavy: np.ndarray):
     return run
 
 
-def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at: np.ndarray):
+def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at: np.ndarray, placed: bool = False):
     """Seeds, by bucket, to the (doc_id, src, pos, src_pos) of each seed and the first place of the first document that holds it.
 
-    Longer seeds give the matches of their first and last SEED words.
+    Longer seeds give the matches of their first and last SEED words, those of least_words of their first alone. With `placed`, buckets from `buckets` on have the
+    (doc_id, place) of the seeds of RUN words that several documents hold, in all of these.
     """
-    more = np.array([0, RUN - SEED, least_words - STEP - SEED])
+    more = np.array([0, RUN - SEED, least_words - STEP - SEED, 0])
+
+    def places(doc, at):
+        run = np.flatnonzero(at & 3 == 1)
+        doc, at = doc[run], at[run]
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order] >> 2
+        return _dealt((wordhash.mix(doc.view(np.uint64) * _FACTOR) % np.uint64(buckets)).astype(np.int64) + buckets, [doc, at])
 
     def matched(found):
         doc, src, at, src_at = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -207,6 +251,10 @@ def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at
     def run(batches):
         held = []
         for found in links(batches):
+            if len(found) == 2:
+                if placed:
+                    yield places(*found)
+                continue
             held.append(found)
             if sum(len(x[0]) for x in held) > 1 << 20:
                 yield from matched(held)
@@ -218,6 +266,7 @@ def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at
         for key, doc, at in _gathered(batches, 3):
             known = np.flatnonzero(key < 0)
             which = -1 - key[known]
+            yield doc[known], at[known]
             away = doc[known] != head_doc[which]
             known, which = known[away], which[away]
             yield doc[known], head_doc[which], at[known], head_at[which]
@@ -235,6 +284,9 @@ def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at
             new = np.diff(key, prepend=-1) != 0
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = np.flatnonzero(doc != doc[head])
+            several = np.zeros(len(key), bool)
+            several[head[later]] = True
+            yield doc[several[head]], at[several[head]]
             head = head[later]
             yield doc[later], doc[head], at[later], at[head]
 
@@ -371,6 +423,49 @@ def _chains(batches):
         yield batch(out)
 
 
+def cover(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of runs (start, end, src_start) enough to hold every word that one of them holds."""
+    out, end = [], -1
+    runs = sorted(runs)
+    k = 0
+    while k < len(runs):
+        if runs[k][0] > end:
+            end = runs[k][0]
+        widest = None
+        while k < len(runs) and runs[k][0] <= end:
+            widest = max(widest or runs[k], runs[k], key=lambda r: r[1])
+            k += 1
+        if widest[1] > end:
+            out.append(widest)
+            end = widest[1]
+    return out
+
+
+def _whole_runs(least_words: int):
+    """Matches (doc_id, src, pos, src_pos) of least_words words, by bucket, to chains: each run of equal words is one, but for those that others of the source cover."""
+    names = ["doc_id", "src", "start", "end", "src_start", "src_end", "anchors"]
+    one = np.zeros(2, np.int32).tobytes()
+
+    def run(batches):
+        for doc, src, pos, src_pos in _gathered(batches, 4):
+            order = np.lexsort((pos, pos - src_pos, src, doc))
+            doc, src, pos, src_pos = (x[order] for x in (doc, src, pos, src_pos))
+            pair = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(src) != 0)])
+            new = np.flatnonzero(pair | np.concatenate([[True], (np.diff(pos - src_pos) != 0) | (np.diff(pos) > 1)]))
+            last = np.concatenate([new[1:], [len(pos)]]) - 1
+            runs = list(zip(pos[new].tolist(), (pos[last] + least_words).tolist(), src_pos[new].tolist(), strict=True))
+            cuts = [*np.flatnonzero(pair[new]), len(new)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                d, s = int(doc[new[lo]]), int(src[new[lo]])
+                out += [(d, s, x, end, y, y + end - x, one) for x, end, y in cover(runs[lo:hi])]
+            if out:
+                *numbers, bodies = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(bodies, pa.binary())], names=names)
+
+    return run
+
+
 def extend(a: np.ndarray, b: np.ndarray, edge: int = 0) -> list[tuple[int, int, int]]:
     """(place in a, place in b, words) of the runs of equal words of the alignment that starts at both beginnings.
 
@@ -564,11 +659,15 @@ def repeated_passages(documents: DataFrame, least_words: int = 50, least_identit
     Null ids and texts and shorter texts have no passages; a repeat inside one document is none. Rows that repeat a doc_id
     are one document: passages of each of its texts are listed, once; fp is the text's xxhash64. Extra columns are ignored; no documents give no rows.
 
-    Seeds are half of all runs of SEED words, by their hash, minimizers of RUN words, and wider runs round these. Each is joined to the first
+    Seeds are all runs of SEED words, minimizers of RUN words, and wider runs round these. Each is joined to the first
     document that holds it, so there are no more matches than seeds, however many documents share a passage; both travel packed, by hash. Seeds so
     frequent that they would burden a task are found first; their first holders, a bounded number, are known to every task, and they need
     no common place. Matches are chained with gap costs for each pair of documents, and the word hashes of chains of at least two seeds that don't
     overlap are aligned; only the texts of documents with such a chain are read again.
+
+    The first document that holds a seed need not hold the passage. So all runs of least_words words round a minimizer that several documents
+    hold are seeds as well, in a second pass, and are aligned with the first document that holds them whole: every run of least_words words that an
+    earlier document holds is found, whatever else holds its parts.
     """
     scratch = Scratch(documents.sparkSession)
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -577,19 +676,28 @@ def repeated_passages(documents: DataFrame, least_words: int = 50, least_identit
     buckets, row = max(partitions(documents.sparkSession), -(-size // TASK_BYTES)), "bucket int, body binary"
     tasks = min(1 << 14, buckets)
     together = lambda df: df.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
-    # every seed that makes one in `most` of all is among the counted ones, of which there are 2 * most at most
     most = 4 * buckets
-    counts = scratch.table(docs.mapInArrow(_frequent(least_words, most), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
-    heavy = np.array(sorted(np.uint64(r.key % (1 << 64)) for r in counts.where("key is not null").where(F.col("n") >= max(2.0, total / (2 * most))).collect()), np.uint64)
-    head_doc, head_at = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
-    if len(heavy):
-        for r in docs.mapInArrow(_heads(least_words, heavy), "heavy long, doc_id long, at long").groupBy("heavy").agg(F.min(F.struct("doc_id", "at")).alias("first")).collect():
-            head_doc[r.heavy], head_at[r.heavy] = r["first"].doc_id, r["first"].at
-    seeds = docs.mapInArrow(_seeds(least_words, buckets, heavy), row)
-    matches = together(seeds).mapInArrow(_first_holders(least_words, buckets, head_doc, head_at), row)
+
+    def matches(table, found, placed=False):
+        """The matches of the seeds of `table`."""
+        # every seed that makes one in `most` of all is among the counted ones, of which there are 2 * most at most
+        counts = scratch.table(table.mapInArrow(_frequent(least_words, most, found), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+        total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
+        heavy = np.array(sorted(np.uint64(r.key % (1 << 64)) for r in counts.where("key is not null").where(F.col("n") >= max(2.0, total / (2 * most))).collect()), np.uint64)
+        head_doc, head_at = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+        if len(heavy):
+            for r in table.mapInArrow(_heads(least_words, heavy, found), "heavy long, doc_id long, at long").groupBy("heavy").agg(F.min(F.struct("doc_id", "at")).alias("first")).collect():
+                head_doc[r.heavy], head_at[r.heavy] = r["first"].doc_id, r["first"].at
+        seeds = table.mapInArrow(_seeds(least_words, buckets, heavy, found), row)
+        return together(seeds).mapInArrow(_first_holders(least_words, buckets, head_doc, head_at, placed), row)
+
+    chain = "doc_id long, src long, start long, end long, src_start long, src_end long, anchors binary"
+    first = scratch.table(matches(docs, _found, True))
+    places = first.where(F.col("bucket") >= buckets).mapInArrow(_held, "doc_id long, at long").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    windows = scratch.table(docs.join(places.hint("merge"), "doc_id").mapInArrow(_windows(least_words), "doc_id long, body binary"))
+    whole = scratch.table(together(matches(windows, _found_windows)).mapInArrow(_whole_runs(least_words), chain))
     chains = scratch.table(
-        together(matches).mapInArrow(_chains, "doc_id long, src long, start long, end long, src_start long, src_end long, anchors binary")
+        together(first.where(F.col("bucket") < buckets)).mapInArrow(_chains, chain).unionByName(whole)
         .withColumns({f"{side}from": F.col(f"{side}start") - F.col(f"{side}start") % ROUND for side in ("", "src_")})
         .withColumns({f"{side}to": F.col(f"{side}end") + F.pmod(-F.col(f"{side}end"), F.lit(ROUND)) for side in ("", "src_")})
     )
