@@ -18,6 +18,7 @@ GAP_COST = 0.08  # for each word skipped on either side, against SEED for a matc
 MARGIN, RESYNC, EDGE = 64, 40, 4
 NEAR, ROUND = 4096, 64  # spans of words that are cut from a text together, and the grid of their ends
 TASK_BYTES = 10 << 20  # of text, for each bucket of its seeds
+PIECE, PIECES, ROW = 1 << 18, 1 << 22, 256  # seeds that are dealt together: at least, at most (but for one chunk of text), and for each bucket
 _FACTOR, _LOW = np.uint64(0xD1342543DE82EF95), np.uint64((1 << 40) - 1)
 JOIN = 6  # passages of one document this many words apart, or fewer, are one
 
@@ -141,45 +142,67 @@ def _held(batches):
 
 
 def _windows(least_words: int):
-    """(doc_id, text, places) to (doc_id, body): the (key, place) of every run of least_words words that holds one of the runs of RUN words at the places."""
+    """(doc_id, text, places) to (docs, body): the (key, place) of every run of least_words words that holds one of the runs of RUN words at the places, and
+    the (doc_id, number of such runs) that they belong to, one after another; a row for each chunk of texts."""
 
     def run(batches):
         for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            data, offsets = wordhash.utf8(b.column("text"))
+            count, places = b.column("places").value_lengths().to_numpy(), b.column("places").flatten().to_numpy()
+            cuts = np.concatenate([[0], np.cumsum(count)])
             docs, bodies = [], []
-            for doc, text, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                h = wordhash.words(*wordhash.utf8(pa.array([text], pa.large_string())))[0]
+            for lo, hi in wordhash.chunks(offsets):
+                h, bounds = wordhash.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 if len(h) < least_words:
                     continue
+                n = np.diff(bounds)
+                of, which, place = np.repeat(np.arange(hi - lo), n), np.repeat(np.arange(hi - lo), count[lo:hi]), places[cuts[lo] : cuts[hi]]
+                held = place <= n[which] - RUN  # others are of another text of a repeated doc_id
+                which, place = which[held], place[held]
                 key, step = _long(h, least_words), np.zeros(len(h) + 2, np.int64)
-                places = np.array(places, np.int64)
-                places = places[places <= len(h) - RUN]  # others are of another text of a repeated doc_id
-                np.add.at(step, np.maximum(places - (least_words - RUN), 0), 1)
-                np.add.at(step, places + 1, -1)
+                np.add.at(step, bounds[which] + np.maximum(place - (least_words - RUN), 0), 1)
+                np.add.at(step, bounds[which] + place + 1, -1)
                 at = np.flatnonzero(np.cumsum(step)[: len(key)] > 0)
-                docs.append(doc), bodies.append(packed([key[at].view(np.int64), at], 0, len(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "body"])
+                at = at[of[at] == of[at + least_words - 1]]
+                own = np.bincount(of[at], minlength=hi - lo)
+                docs.append(packed([ids[lo:hi], own], 0, hi - lo)), bodies.append(packed([key[at].view(np.int64), at - bounds[of[at]]], 0, len(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array(bodies, pa.binary())], names=["docs", "body"])
 
     return run
 
 
 def _found_windows(batch, least_words: int):
     """As _found, of the rows of _windows."""
-    for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+    for docs, body in zip(batch.column("docs").to_pylist(), batch.column("body").to_pylist(), strict=True):
         key, at = unpacked(body, 2)
         if len(key):
-            yield key.view(np.uint64) ^ np.uint64(least_words), np.full(len(key), doc), at * 4 + 3
+            yield key.view(np.uint64) ^ np.uint64(least_words), np.repeat(*unpacked(docs, 2)), at * 4 + 3
+
+
+def _pieces(batches, least_words: int, found, least: int = PIECE):
+    """What `found` finds in the batches, put together to pieces of `least` seeds or more (but for the last one), however few a document or batch has."""
+    held, size = [], 0
+    for b in batches:
+        for piece in found(b, least_words):
+            held.append(piece)
+            size += len(piece[0])
+            if size >= least:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else piece
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _frequent(least_words: int, most: int, found=_found):
     """(key, n) of the seeds that make one in 2 * most or more of a piece's, and (null, n) for all of them."""
 
     def run(batches):
-        for b in batches:
-            for key, _, _ in found(b, least_words):
-                unique, n = np.unique(key, return_counts=True)
-                often = n >= max(2, len(key) / (2 * most))
-                keys = pa.array([*unique[often].view(np.int64).tolist(), None], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, pa.array([*n[often].tolist(), len(key)], pa.int64())], names=["key", "n"])
+        for key, _, _ in _pieces(batches, least_words, found):
+            unique, n = np.unique(key, return_counts=True)
+            often = n >= max(2, len(key) / (2 * most))
+            keys = pa.array([*unique[often].view(np.int64).tolist(), None], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([*n[often].tolist(), len(key)], pa.int64())], names=["key", "n"])
 
     return run
 
@@ -196,27 +219,29 @@ def _heads(least_words: int, heavy: np.ndarray, found=_found):
     """(heavy, doc_id, place): the first place of each heavy seed in each piece."""
 
     def run(batches):
-        for b in batches:
-            for key, doc, at in found(b, least_words):
-                which = _hit(heavy, key)
-                rows = np.flatnonzero(which >= 0)
-                rows = rows[np.lexsort((at[rows], doc[rows], which[rows]))]
-                rows = rows[np.diff(which[rows], prepend=-1) != 0]
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows], pa.int64()) for x in (which, doc, at)], names=["heavy", "doc_id", "at"])
+        for key, doc, at in _pieces(batches, least_words, found):
+            which = _hit(heavy, key)
+            rows = np.flatnonzero(which >= 0)
+            rows = rows[np.lexsort((at[rows], doc[rows], which[rows]))]
+            rows = rows[np.diff(which[rows], prepend=-1) != 0]
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows], pa.int64()) for x in (which, doc, at)], names=["heavy", "doc_id", "at"])
 
     return run
 
 
 def _seeds(least_words: int, buckets: int, heavy: np.ndarray, found=_found):
-    """(doc_id, text) to (bucket, body): the (key, doc_id, place) of each seed; heavy ones go to any bucket, their key is -1 less their number."""
+    """(doc_id, text) to (bucket, body): the (key, doc_id, place) of each seed; heavy ones go to any bucket, their key is -1 less their number.
+
+    Rows hold some ROW seeds or more, so there are as many as a share of the seeds, and not of the documents times the buckets.
+    """
+    least = max(PIECE, min(ROW * buckets, PIECES))
 
     def run(batches):
-        for b in batches:
-            for key, doc, at in found(b, least_words):
-                which = _hit(heavy, key)
-                spread = wordhash.mix(doc.astype(np.int64).view(np.uint64) * _FACTOR + at.astype(np.int64).view(np.uint64))
-                bucket = np.where(which >= 0, spread, key >> np.uint64(40)) % np.uint64(buckets)
-                yield _dealt(bucket.astype(np.int64), [np.where(which >= 0, -1 - which, (key & _LOW).astype(np.int64)), doc, at])
+        for key, doc, at in _pieces(batches, least_words, found, least):
+            which = _hit(heavy, key)
+            spread = wordhash.mix(doc.astype(np.int64).view(np.uint64) * _FACTOR + at.astype(np.int64).view(np.uint64))
+            bucket = np.where(which >= 0, spread, key >> np.uint64(40)) % np.uint64(buckets)
+            yield _dealt(bucket.astype(np.int64), [np.where(which >= 0, -1 - which, (key & _LOW).astype(np.int64)), doc, at])
 
     return run
 
@@ -224,7 +249,7 @@ def _seeds(least_words: int, buckets: int, heavy: np.ndarray, found=_found):
 def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at: np.ndarray, placed: bool = False):
     """Seeds, by bucket, to the (doc_id, src, pos, src_pos) of each seed and the first place of the first document that holds it.
 
-    Longer seeds give the matches of their first and last SEED words, those of least_words of their first alone. With `placed`, buckets from `buckets` on have the
+    Longer seeds give the matches of their first and last SEED words, those of least_words of their first alone. With `placed`, bucket `buckets` has the
     (doc_id, place) of the seeds of RUN words that several documents hold, in all of these.
     """
     more = np.array([0, RUN - SEED, least_words - STEP - SEED, 0])
@@ -234,7 +259,7 @@ def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at
         doc, at = doc[run], at[run]
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order] >> 2
-        return _dealt((wordhash.mix(doc.view(np.uint64) * _FACTOR) % np.uint64(buckets)).astype(np.int64) + buckets, [doc, at])
+        return _dealt(np.full(len(doc), buckets), [doc, at])
 
     def matched(found):
         doc, src, at, src_at = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -252,7 +277,7 @@ def _first_holders(least_words: int, buckets: int, head_doc: np.ndarray, head_at
         held = []
         for found in links(batches):
             if len(found) == 2:
-                if placed:
+                if placed and len(found[0]):
                     yield places(*found)
                 continue
             held.append(found)
@@ -693,8 +718,8 @@ def repeated_passages(documents: DataFrame, least_words: int = 50, least_identit
 
     chain = "doc_id long, src long, start long, end long, src_start long, src_end long, anchors binary"
     first = scratch.table(matches(docs, _found, True))
-    places = first.where(F.col("bucket") >= buckets).mapInArrow(_held, "doc_id long, at long").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    windows = scratch.table(docs.join(places.hint("merge"), "doc_id").mapInArrow(_windows(least_words), "doc_id long, body binary"))
+    places = first.where(F.col("bucket") == buckets).mapInArrow(_held, "doc_id long, at long").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    windows = scratch.table(docs.join(places.hint("merge"), "doc_id").mapInArrow(_windows(least_words), "docs binary, body binary"))
     whole = scratch.table(together(matches(windows, _found_windows)).mapInArrow(_whole_runs(least_words), chain))
     chains = scratch.table(
         together(first.where(F.col("bucket") < buckets)).mapInArrow(_chains, chain).unionByName(whole)

@@ -389,6 +389,58 @@ def test_heavy_seeds_give_the_same_matches():
     assert max(sizes[3:]) < 1.5 * min(sizes[3:])
 
 
+def windows_of(texts, least_words=50):
+    """The rows of _windows for texts that all have a place at every word."""
+    places = [list(range(max(0, len(t.split()) - passages.RUN + 1))) for t in texts]
+    arrays = [pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(places, pa.list_(pa.int64()))]
+    return list(passages._windows(least_words)(iter([pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "places"])])))
+
+
+def test_windows_match_brute_force():
+    rng = random.Random(45)
+    shared = [f"p{i}" for i in range(55)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))), *(shared if i % 2 else [])]) for i in range(40)] + ["", "few words"]
+    got, where = defaultdict(set), set()
+    for b in windows_of(texts):
+        for key, doc, at in passages._found_windows(b, 50):
+            for k, d, x in zip(key.tolist(), doc.tolist(), at.tolist(), strict=True):
+                assert x % 4 == 3 and (d, x // 4) not in where
+                where.add((d, x // 4))
+                got[k].add(tuple(texts[d].split()[x // 4 : x // 4 + 50]))
+    split = [t.split() for t in texts]
+    assert where == {(d, x) for d, t in enumerate(split) for x in range(len(t) - 49)}
+    assert all(len(x) == 1 for x in got.values()) and len(got) == len({w for x in got.values() for w in x})
+
+
+def test_rows_of_seeds_dont_grow_with_documents_times_buckets():
+    rng = random.Random(46)
+    shared = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(40)), *shared, *(f"w{rng.randrange(10**6)}" for _ in range(40))]) for _ in range(400)]
+    batches = windows_of(texts)
+    none = np.zeros(0, np.uint64)
+    dealt = [b for k in (64, 128) for b in passages._seeds(50, k, none, passages._found_windows)(iter(batches))]
+    rows = [(k, body) for b in dealt for k, body in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True)]
+    # documents of one task go to a bucket together: 192 rows, not some 50 for each document
+    assert len(rows) <= 64 + 128 and sum(len(passages.unpacked(body, 3)[0]) for _, body in rows) == 2 * 400 * 91
+    # so a window that each document holds once is seen to be frequent
+    counts = Counter()
+    for b in passages._frequent(50, 256, passages._found_windows)(iter(batches)):
+        for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True):
+            counts[k] += n
+    assert counts.pop(None) == 400 * 91 and len(counts) == 11 and set(counts.values()) == {400}
+
+
+def test_places_of_a_bucket_are_one_row():
+    texts = [" ".join(f"p{i}" for i in range(200))] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (seeds,) = passages._seeds(50, 1, np.zeros(0, np.uint64))(iter([batch]))
+    at = np.zeros(0, np.int64)
+    rows = [(k, body) for b in passages._first_holders(50, 40, at, at, True)(iter([seeds])) for k, body in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True)]
+    (held,) = [body for k, body in rows if k >= 40]
+    doc, place = passages.unpacked(held, 2)
+    assert sorted(set(doc.tolist())) == list(range(20)) and len(doc) == 20 * len(set(place.tolist())) > 100
+
+
 # 4: fingerprints
 
 
