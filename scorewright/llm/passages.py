@@ -437,10 +437,10 @@ def _chains(batches):
     out = []
     for arrays in _gathered(batches, 4):
         doc, src, pos, src_pos = thinned(*arrays)
-        cuts = [*np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(src) != 0)])), len(doc)]
-        points = list(zip(pos.tolist(), src_pos.tolist(), strict=True))
-        for lo, hi in zip(cuts, cuts[1:]):
-            out += close((int(doc[lo]), int(src[lo])), points[lo:hi])
+        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(src) != 0)])), [len(doc)]])
+        wide = np.flatnonzero(pos[cuts[1:] - 1] - pos[cuts[:-1]] >= SEED)  # others have no chain that close() keeps
+        for lo, hi in zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True):
+            out += close((int(doc[lo]), int(src[lo])), list(zip(pos[lo:hi].tolist(), src_pos[lo:hi].tolist(), strict=True)))
             if len(out) > 10_000:
                 yield batch(out)
                 out = []
@@ -563,15 +563,20 @@ def _slices(batches):
 
     for b in batches:
         out, size = [], 0
-        for doc, fp, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "fp", "text", "spans")), strict=True):
-            h = (wordhash.words(*wordhash.utf8(pa.array([text], pa.large_string())))[0] >> np.uint64(32)).astype(np.uint32)
-            for s in spans:
-                low = max(0, s["start"] - MARGIN)
-                out.append((doc, s["start"], s["end"], low, fp, h[low : s["end"] + MARGIN].tobytes()))
-                size += len(out[-1][5])
-                if size > 1 << 21:
-                    yield batch(out)
-                    out, size = [], 0
+        docs, fps, spans = (b.column(c).to_pylist() for c in ("doc_id", "fp", "spans"))
+        data, offsets = wordhash.utf8(b.column("text"))
+        for lo, hi in wordhash.chunks(offsets):
+            all_h, bounds = wordhash.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            all_h = (all_h >> np.uint64(32)).astype(np.uint32)
+            for i in range(lo, hi):
+                h = all_h[bounds[i - lo] : bounds[i - lo + 1]]
+                for s in spans[i]:
+                    low = max(0, s["start"] - MARGIN)
+                    out.append((docs[i], s["start"], s["end"], low, fps[i], h[low : s["end"] + MARGIN].tobytes()))
+                    size += len(out[-1][5])
+                    if size > 1 << 21:
+                        yield batch(out)
+                        out, size = [], 0
         if out:
             yield batch(out)
 

@@ -441,6 +441,33 @@ def test_places_of_a_bucket_are_one_row():
     assert sorted(set(doc.tolist())) == list(range(20)) and len(doc) == 20 * len(set(place.tolist())) > 100
 
 
+def test_chance_matches_need_no_chain(monkeypatch):
+    """Pairs of documents whose matches are less than a seed's words apart have no chain, and aren't looked at one by one."""
+    rng = random.Random(47)
+    matches = [(d, s, x + k, y + k) for d in range(100, 400) for s, x, y in [(rng.randrange(100), rng.randrange(500), rng.randrange(500))] for k in range(rng.randint(1, passages.SEED))]
+    matches += [(d, 7, x, x + 20) for d in range(400, 410) for x in range(30, 30 + passages.SEED + d % 3)]
+    arrays = [np.array(x, np.int64) for x in zip(*matches, strict=True)]
+    seen, paths = [], passages.paths
+    monkeypatch.setattr(passages, "paths", lambda m, *more: seen.append(m) or paths(m, *more))
+    found = [r for b in passages._chains(iter([passages._dealt(np.zeros(len(arrays[0]), np.int64), arrays)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {r[:2] for r in found} == {(d, 7) for d in range(400, 410) if d % 3} and all(r[2] == 30 and r[4] == 50 for r in found)
+    assert len(seen) == len(found)
+
+
+def test_slices_match_words_of_single_texts():
+    rng = random.Random(48)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 400))) for _ in range(30)]
+    spans = [[{"start": 64 * k, "end": 64 * k + 128} for k in range(rng.randint(0, 4))] for _ in texts]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    arrays = [pa.array(range(30), pa.int64()), pa.array(range(50, 80), pa.int64()), pa.array(texts), pa.array(spans, kind)]
+    got = [r for b in passages._slices(iter([pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "text", "spans"])])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = []
+    for i, (text, of) in enumerate(zip(texts, spans, strict=True)):
+        h = (wordhash.words(*wordhash.utf8(pa.array([text])))[0] >> np.uint64(32)).astype(np.uint32)
+        want += [(i, s["start"], s["end"], max(0, s["start"] - 64), 50 + i, h[max(0, s["start"] - 64) : s["end"] + 64].tobytes()) for s in of]
+    assert got == want and len(want) > 30
+
+
 # 4: fingerprints
 
 
